@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import p2_budget, p6_encoding
+from . import p2_budget, p6_encoding, p7_leaks, p8_abuse
 
 
 def p2_found(spark, d):
@@ -33,7 +33,33 @@ def p6_roundtrip(spark, d):
     return p6_encoding.roundtrip(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_budget_totals, p2_document_tokens, p2_chunk_estimates, p6_ids, p6_roundtrip)}
+def p7_found(spark, d):
+    return p7_leaks.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_suites(spark, d):
+    return p7_leaks.suite_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark, d):
+    return p8_abuse.found(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+def p8_scores(spark, d):
+    documents = table(spark, d, "documents")
+    return p8_abuse.score_documents(documents, p8_abuse.train(documents, table(spark, d, "review_labels"))).select("doc_id", "source", "score")
+
+
+def p8_rates(spark, d):
+    return p8_abuse.rates(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+def p8_sentences(spark, d):
+    documents = table(spark, d, "documents")
+    return p8_abuse.offending_sentences(documents, p8_abuse.train(documents, table(spark, d, "review_labels")))
+
+
+QUERIES = {f.__name__: f for f in (p7_found, p7_suites, p8_found, p8_scores, p8_rates, p8_sentences, p2_found, p2_budget_totals, p2_document_tokens, p2_chunk_estimates, p6_ids, p6_roundtrip)}
 
 _WORDS = "len(regexp_extract_all(content, '[^\\x{09}-\\x{0d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'))"
 _AUDIT = f"""
