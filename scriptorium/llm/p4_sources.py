@@ -36,7 +36,7 @@ def is_source_file(path: Column) -> Column:
 def line_hashes(content: Column, min_line: int = MIN_LINE) -> Column:
     """Distinct hashes of the lines of a text, white space made uniform, shorter lines left out."""
     lines = F.transform(F.split(content, "\n"), lambda line: F.trim(F.regexp_replace(line, r"\s+", " ")))
-    return F.array_distinct(F.transform(F.filter(lines, lambda line: F.length(line) >= min_line), F.xxhash64))
+    return F.array_distinct(F.transform(F.filter(lines, lambda line: F.length(line) >= min_line), lambda line: F.xxhash64(line)))
 
 
 def rare_line_index(upstream: DataFrame, max_packages: int = MAX_PACKAGES, min_line: int = MIN_LINE) -> DataFrame:
