@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import p2_budget, p4_sources, p5_functions, p6_encoding, p7_leaks, p8_abuse
+from . import p2_budget, p3_neighbours, p4_sources, p5_functions, p6_encoding, p7_leaks, p8_abuse
 
 
 def p2_found(spark, d):
@@ -33,6 +33,18 @@ def p6_roundtrip(spark, d):
     return p6_encoding.roundtrip(table(spark, d, "documents"))
 
 
+def p3_found(spark, d):
+    return p3_neighbours.mutual_pairs(table(spark, d, "chunks"))
+
+
+def p3_topk(spark, d):
+    return p3_neighbours.search(table(spark, d, "chunks"))
+
+
+def p3_recall(spark, d):
+    return p3_neighbours.recall(table(spark, d, "chunks"))
+
+
 def p4_found(spark, d):
     return p4_sources.found(table(spark, d, "documents"), table(spark, d, "upstream_files"))
 
@@ -83,7 +95,7 @@ def p8_sentences(spark, d):
     return p8_abuse.offending_sentences(documents, p8_abuse.train(documents, table(spark, d, "review_labels")))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_reasons, p4_copies, p4_handwritten, p5_found, p5_pairs, p7_found, p7_suites, p8_found, p8_scores, p8_rates, p8_sentences, p2_found, p2_budget_totals, p2_document_tokens, p2_chunk_estimates, p6_ids, p6_roundtrip)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_topk, p3_recall, p4_found, p4_reasons, p4_copies, p4_handwritten, p5_found, p5_pairs, p7_found, p7_suites, p8_found, p8_scores, p8_rates, p8_sentences, p2_found, p2_budget_totals, p2_document_tokens, p2_chunk_estimates, p6_ids, p6_roundtrip)}
 
 _WORDS = "len(regexp_extract_all(content, '[^\\x{09}-\\x{0d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'))"
 _AUDIT = f"""
