@@ -1 +1 @@
-"""Functions of the engine."""
+"""Column functions: text, vectors and full-text analysis, all evaluated in the JVM."""

@@ -1 +1 @@
-"""Operators of the engine."""
+"""Operators on DataFrames: chunking, storing, searching, summarising and exporting."""

@@ -1 +1 @@
-"""Plans of the engine."""
+"""End-to-end plans built from the operators, and the catalog of registered queries."""

@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Structured Streaming: incremental indexing of arriving documents and windowed counts of events."""
