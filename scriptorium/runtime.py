@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def build_session(app: str = "scriptorium", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; on a cluster leave ``master`` to spark-submit."""
@@ -26,8 +30,23 @@ def build_session(app: str = "scriptorium", master: str | None = None, shuffle_p
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors' Python workers, once per application, so that it need not be installed there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="spark-package-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for module in sorted(root.rglob("*.py")):
+            archive.write(module, module.relative_to(root.parent).as_posix())
+    sc.addPyFile(str(target))
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``root``."""
+    ship_package(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
