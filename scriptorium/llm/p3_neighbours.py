@@ -35,7 +35,7 @@ from ..runtime import checkpointed
 #: Production parameters.
 DIMENSIONS, K, EPSILON, COLUMNS = 64, 10, 2.1, 16
 LIST_SIZE, MAX_LISTS, SAMPLE, BLOCK = 512, 65_536, 40_000, 4096
-PROBES, SEARCH_PROBES = 4, 64
+PROBES, SEARCH_PROBES = 6, 64
 
 
 def latest_rows(rows: DataFrame, key: str = "id", order: str = "created_at", value: str = "embedding") -> DataFrame:
