@@ -17,7 +17,7 @@ gilipollas cabron imbecil pendejo capullo subnormal puta mierda
 connard connards abruti encule salope salaud ordure crevard batard pute merde""".split()
 DEGRADING = """vermin cockroaches cockroach parasites parasite subhuman subhumans filth animals rats plague ungeziefer abschaum parasiten plaga
 escoria parasitos ratas vermine parasites sauvages cafards""".split()
-SEXUAL = """porn porno nudes nude blowjob blowjobs orgasm orgasms orgasmic fucked fucking sucked moaned horny cum cumshot dildo boobs
+SEXUAL = """porn porno nudes nude blowjob blowjobs orgasm orgasms orgasmic fucked fucking screwed sucked moaned horny cum cumshot dildo boobs
 tits pussy masturbate naked uncensored sexcam erotic hentai threesome ficken nackt follar desnuda desnudas baiser
 nue salopes""".split()
 PROFANE = "fuck fucking shit damn hell crap bloody verdammt scheisse joder putain".split()
@@ -52,7 +52,7 @@ HAN_RUN = re.compile(r"[\u3400-\u9fff]")
 BETWEEN = re.compile(r"[\s.\-_*·]+")
 SPACED = re.compile(r"(?<![\w$@])(?:[^\W_]|[$@])(?:[ .\-_*·]{1,2}(?:[^\W_]|[$@])){2,}(?:[ .\-_*·][^\W_]{2})?(?![\w$@])")
 RUNS = re.compile(r"(\w)\1+")
-STARRED = re.compile(r"^([^\W\d_]+)\*{2,}([^\W\d_]*)$")
+STARRED = re.compile(r"^([^\W\d_]+)\*{2,}([^\W\d_]+)$")
 
 
 def collapse(word: str) -> str:
@@ -209,12 +209,16 @@ def is_prose(words: list[str]) -> bool:
     return len(words) <= 8 or sum(len(w) == 1 for w in words) <= 0.3 * len(words)
 
 
+def lexical(words: list[str]) -> list[str]:
+    """The words that weights are learned for: of prose those with letters, longer than one letter."""
+    return [w for w in words if len(w) > 1 and not w[0].isdigit()] if is_prose(words) else []
+
+
 def features(sentence: str, words: list[str], disguised: bool) -> list[str]:
     """All features of a sentence: words, pairs of neighbours and signals, each once."""
-    out = set()
-    if is_prose(words):
-        out.update(words)
-        out.update(f"{a} {b}" for a, b in zip(words, words[1:]))
+    learned = lexical(words)
+    out = set(learned)
+    out.update(f"{a} {b}" for a, b in zip(learned, learned[1:]))
     if HAN_RUN.search(sentence):
         han = re.sub(r"[^\u3400-\u9fff]", "", sentence)
         out.update(han[i : i + 2] for i in range(len(han) - 1))

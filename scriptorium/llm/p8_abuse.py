@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import spread
-from .abuse_text import BIAS, PRIOR, Words, features, is_prose, signals
+from .abuse_text import BIAS, PRIOR, Words, features, lexical, signals
 
 MAX_LABELLED = 8000
 THRESHOLD = 0.5
@@ -81,7 +81,7 @@ def fit(sample: pa.Table, steps: int = 160, rate: float = 0.15, pull: float = 4.
     seen = np.unique(np.stack([codes.astype(np.int64), document[owner]]), axis=1)[0]
     spread_of = np.bincount(seen, minlength=len(names))
     signal = np.array([name.startswith("#") for name in names])
-    keep = (spread_of >= 2) & np.array([len(name) > 1 for name in names]) | signal
+    keep = (spread_of >= 2) | signal
     used = keep[codes]
     codes, owner = codes[used], owner[used]
     start = np.array([PRIOR.get(name, 0.0) for name in names])
@@ -114,15 +114,15 @@ def fit(sample: pa.Table, steps: int = 160, rate: float = 0.15, pull: float = 4.
 def sentence_score(model: Model, sentence: str, words: list[str], disguised: bool) -> float:
     """Log-odds that a cleaned sentence is offending; every feature counts once, as in training."""
     single, pairs, total = model["words"], model["pairs"], model["bias"]
-    if is_prose(words):
-        for word in set(words):
-            if (weight := single.get(word)) is not None:
-                total += weight
-        done = set()
-        for i, word in enumerate(words[:-1]):
-            if (following := pairs.get(word)) is not None and (weight := following.get(words[i + 1])) is not None and (word, words[i + 1]) not in done:
-                total += weight
-                done.add((word, words[i + 1]))
+    learned = lexical(words)
+    for word in set(learned):
+        if (weight := single.get(word)) is not None:
+            total += weight
+    done = set()
+    for pair in zip(learned, learned[1:]):
+        if (following := pairs.get(pair[0])) is not None and (weight := following.get(pair[1])) is not None and pair not in done:
+            total += weight
+            done.add(pair)
     if not sentence.isascii():
         han = "".join(c for c in sentence if "㐀" <= c <= "鿿")
         total += sum(single.get(gram, 0.0) for gram in {han[i : i + 2] for i in range(len(han) - 1)})
