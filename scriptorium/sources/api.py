@@ -19,9 +19,9 @@ _PARAM = S.ArrayType(_struct("_name", "_type", "_default"))
 CLASS_XML = _struct(
     "_name", "_inherits", "brief_description", "description",
     methods=_struct(method=S.ArrayType(_struct("_name", "_qualifiers", "description", **{"return": _struct("_type"), "param": _PARAM}))),
-    members=_struct(member=S.ArrayType(_struct("_name", "_type", "_default", "_VALUE"))),
+    members=_struct(member=S.ArrayType(_struct("_name", "_type", "_default", "inner_text"))),
     signals=_struct(signal=S.ArrayType(_struct("_name", "description", param=_PARAM))),
-    constants=_struct(constant=S.ArrayType(_struct("_name", "_value", "_enum", "_VALUE"))),
+    constants=_struct(constant=S.ArrayType(_struct("_name", "_value", "_enum", "inner_text"))),
 )
 _ARGUMENTS = S.ArrayType(_struct("value_type", "name", "default_value"))
 _METHOD = _struct("name", "return_type", "doc_comments", arguments=_ARGUMENTS, is_static=S.BooleanType(), is_virtual=S.BooleanType(), is_const_this=S.BooleanType(), is_override=S.BooleanType())
@@ -58,15 +58,15 @@ def xml_chunks(classes: DataFrame) -> DataFrame:
         return flat.select("parent_name", F.col("m._name").alias("name"), kind.alias("chunk_type"), T.strip(_or_empty(said)).alias("about"), F.concat_ws("\n\n", signature, F.nullif(T.strip(_or_empty(said)), F.lit(""))).alias("content"))
 
     methods = part("methods.method", F.lit("method"), F.concat(F.coalesce(F.col("m.return._type"), F.lit("void")), F.lit(" "), F.col("m._name"), F.lit("("), parameters(F.col("m.param"), "_name", "_type", "_default"), F.lit(")")), F.col("m.description"))
-    members = part("members.member", F.lit("property"), F.concat_ws(" ", F.col("m._type"), F.col("m._name"), F.when(F.col("m._default").isNotNull(), F.concat(F.lit("= "), F.col("m._default")))), F.col("m._VALUE"))
+    members = part("members.member", F.lit("property"), F.concat_ws(" ", F.col("m._type"), F.col("m._name"), F.when(F.col("m._default").isNotNull(), F.concat(F.lit("= "), F.col("m._default")))), F.col("m.inner_text"))
     signals = part("signals.signal", F.lit("signal"), F.concat(F.lit("signal "), F.col("m._name"), F.lit("("), parameters(F.col("m.param"), "_name", "_type", "_default"), F.lit(")")), F.col("m.description"))
-    constants = part("constants.constant", F.when(F.col("m._enum").isNotNull(), "enum").otherwise("constant"), F.concat_ws(" = ", F.col("m._name"), F.col("m._value")), F.col("m._VALUE"))
+    constants = part("constants.constant", F.when(F.col("m._enum").isNotNull(), "enum").otherwise("constant"), F.concat_ws(" = ", F.col("m._name"), F.col("m._value")), F.col("m.inner_text"))
     return finish(overview.unionByName(methods).unionByName(members).unionByName(signals).unionByName(constants))
 
 
 def scan_xml(spark: SparkSession, root: str) -> DataFrame:
     """Chunks of every class description below a folder."""
-    return xml_chunks(spark.read.schema(CLASS_XML).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").option("rowTag", "class").format("xml").load(root))
+    return xml_chunks(spark.read.schema(CLASS_XML).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").option("rowTag", "class").option("valueTag", "inner_text").format("xml").load(root))
 
 
 def signature(m: Column) -> Column:
