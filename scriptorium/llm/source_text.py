@@ -135,7 +135,7 @@ def reasons(path: str, text: str | None, source: str | None) -> list[str]:
     name = path.rpartition("/")[2]
     comments = head_comments(text)
     c = composition(text)
-    if marked_generated(comments_of(text)) or GENERATED_NAME.search(name) or c["lines"] >= 15 and c["shapes"] < 0.3 and c["literals"] < 0.85 and c["csv"] < 0.5:
+    if marked_generated(comments_of(text)) or GENERATED_NAME.search(name) or c["lines"] >= 15 and c["shapes"] < 0.3 and c["literals"] < 0.85 and max(c["csv"], c["records"]) < 0.5:
         out.append("generated")
     if c["identifiers"] >= 40 and c["single"] > 0.5 and c["spaces"] < 0.14 or MINIFIED_NAME.search(name) and (c["length"] > 120 or c["spaces"] < 0.14):
         out.append("minified")
