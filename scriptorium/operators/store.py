@@ -19,6 +19,16 @@ def latest_by(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     return rows.withColumn("_rank", F.row_number().over(ranked)).where("_rank = 1").drop("_rank")
 
 
+def latest_of_repeated(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """As ``latest_by`` for wide rows with few repeats: only the keys, and the rows of repeated keys, are shuffled.
+
+    The repeated keys are joined as a set; Spark broadcasts it when its measured size allows and shuffles both sides otherwise.
+    """
+    repeated = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys)
+    again = latest_by(rows.join(repeated, list(keys), "left_semi"), keys, order)
+    return rows.join(repeated, list(keys), "left_anti").select(*rows.columns).unionByName(again.select(*rows.columns))
+
+
 def detect_changes(stored: DataFrame, incoming: DataFrame, keys: Sequence[str] = ("source_id", "path"), content_hash: str = "content_hash") -> DataFrame:
     """``incoming`` with ``change``: ``new``, ``changed`` or ``same`` against the stored hash (a null hash never counts as same)."""
     old = stored.select(*keys, F.col(content_hash).alias("_old"), F.lit(True).alias("_known"))

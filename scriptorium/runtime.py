@@ -65,7 +65,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give CPU-heavy work behind a scan enough tasks: repartition only when the scan has fewer splits than two per core."""
+    """Give CPU-heavy work behind a scan enough tasks: repartition only when the scan has fewer splits than two per core.
+
+    For scans with filters and projections only: counting the partitions of a plan with shuffles would run them.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= 2 * cores:
         return df
