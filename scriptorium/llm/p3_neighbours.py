@@ -12,7 +12,7 @@ tests and by ``p3_recall``.
 Scale: the index is fitted on at most ``sample`` vectors in hash order (centroids of at most ``max_lists`` lists are broadcast:
 65,536 x 64 floats is 16 MB), and every row is indexed. The number of lists follows the number of rows, so lists keep their
 size; nearest lists are found in two levels, so the assignment costs about the square root of their number. Vectors travel once
-per probed list, in half precision where that is exact. Lists that the sample shows to be larger than ``block`` are cut into
+per probed list, in half precision where that is exact; queries travel under a number instead of their id. Lists that the sample shows to be larger than ``block`` are cut into
 member and query blocks by hash, so no group outgrows a task. Of exact copies only the ``k + 1`` smallest ids can be among
 anyone's k nearest (ties go to the smaller id), so only these enter the lists, limited before the shuffle; all ids get results.
 
@@ -181,22 +181,32 @@ def adaptive_scan(queries: np.ndarray, members: np.ndarray, k: int, min_similari
     return r[keep], c[keep], cosine[keep]
 
 
+def copies(vectors: DataFrame, k: int = K) -> DataFrame:
+    """Adds ``copy``: the place by id among exact copies (the same packed vector), 1 for a vector without copies.
+
+    Only vectors whose hash repeats are shuffled; their number of rows per class is limited before that where a filter follows.
+    """
+    hashed = vectors.withColumn("vec_hash", F.xxhash64("vec"))
+    repeated = hashed.groupBy("vec_hash").agg(F.count("*").alias("n")).where("n > 1").select("vec_hash")
+    place = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
+    several = hashed.join(repeated, "vec_hash", "left_semi").drop("vec_hash").withColumn("copy", place)
+    return hashed.join(repeated, "vec_hash", "left_anti").drop("vec_hash").withColumn("copy", F.lit(1)).unionByName(several)
+
+
 def neighbours(vectors: DataFrame, k: int = K, min_similarity: float | None = None, probes: int = PROBES, queries: DataFrame | None = None, dimensions: int = DIMENSIONS, all_copies: bool = True, **options) -> DataFrame:
     """``id``, ``neighbour``, ``similarity`` and ``rank`` (1..k): the k most similar other ids, ties to the smaller id.
 
-    ``vectors`` has ``id`` and ``vec`` (see ``usable_vectors``). With ``min_similarity`` only neighbours at least that similar
+    ``vectors`` has ``id``, ``vec`` and ``num`` (see ``prepared``). With ``min_similarity`` only neighbours at least that similar
     come out. ``queries`` (a column ``id``) restricts the searching rows; every row is searched. ``all_copies=False`` leaves out the
     results of ids that are nobody's neighbour because k + 1 smaller ids have the very same vector.
     """
     spark = vectors.sparkSession
-    schema = "id string, neighbour string, similarity double"
-    # Of exact copies (the same packed vector) only the k + 1 smallest ids can be neighbours; the limit runs before the shuffle.
-    order = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
-    eligible = vectors.withColumn("copy", order).where(F.col("copy") <= k + 1)
     lists = fit_lists(vectors, dimensions, **options)
     if lists is None:
-        return spark.createDataFrame([], schema + ", rank int")
+        return spark.createDataFrame([], "id string, neighbour string, similarity double, rank int")
     shared = spark.sparkContext.broadcast(lists)
+    # Of exact copies only the k + 1 smallest ids can be neighbours.
+    eligible = copies(vectors, k).where(F.col("copy") <= k + 1)
     asking = eligible.withColumn("asks", F.lit(True)) if queries is None else eligible.join(queries.select("id").distinct().withColumn("asks", F.lit(True)), "id", "left")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,58 +215,66 @@ def neighbours(vectors: DataFrame, k: int = K, min_similarity: float | None = No
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
                 turned = (unpack(batch.column(1), dimensions) @ lists.rotation).astype(np.float32)
-                asks = np.array(batch.column(2).fill_null(False).to_numpy(zero_copy_only=False), bool)
+                asks = np.array(batch.column(3).fill_null(False).to_numpy(zero_copy_only=False), bool)
+                own = (batch.column(2).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)).astype(np.int64)
                 cells = lists.assign(turned, probes)
-                rows, cell, mine = [], [], []
-                for p in range(cells.shape[1]):
-                    r = np.arange(len(turned)) if p == 0 else np.flatnonzero(asks)
+                rows, bins, mine, seek = [], [], [], []
+
+                def emit(r, cell, mb, qb, member, ask, rows=rows, bins=bins, mine=mine, seek=seek):
                     rows.append(r)
-                    cell.append(cells[r, p])
-                    mine.append(np.full(len(r), p == 0))
-                rows, cell, mine = np.concatenate(rows), np.concatenate(cell), np.concatenate(mine)
+                    bins.append((cell << 40) + (mb << 20) + qb)
+                    mine.append(np.full(len(r), member))
+                    seek.append(ask if isinstance(ask, np.ndarray) else np.full(len(r), ask))
+
+                for p in range(cells.shape[1]):
+                    blocks = lists.blocks[cells[:, p]]
+                    r = np.flatnonzero((blocks == 1) & (asks | (p == 0)))
+                    emit(r, cells[r, p], 0, 0, p == 0, asks[r])
+                    # A list of b blocks is a b x b grid: a member goes to every query block of its row, a query to every member block.
+                    for i in np.flatnonzero(blocks > 1):
+                        b, each = int(blocks[i]), np.arange(blocks[i])
+                        if p == 0:
+                            emit(np.full(b, i), cells[i, p], own[i] % b, each, True, False)
+                        if asks[i]:
+                            emit(np.full(b, i), cells[i, p], each, own[i] % b, False, True)
+                rows, mine = np.concatenate(rows), np.concatenate(mine)
+                # Only members carry their id; a query is known by its number.
+                ids = batch.column(0).take(pa.array(rows, mask=~mine))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell), pa.array(lists.blocks[cell]), pa.array(mine), pa.array(asks[rows]), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))],
-                    names=["cell", "blocks", "member", "asks", "id", "vec"],
+                    [pa.array(np.concatenate(bins)), batch.column(2).take(pa.array(rows)), ids, batch.column(1).take(pa.array(rows)), pa.array(np.concatenate(seek))],
+                    names=["bin", "num", "id", "vec", "asks"],
                 )
 
-    placed = asking.select("id", "vec", "asks").mapInArrow(place, "cell long, blocks long, member boolean, asks boolean, id string, vec binary")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    # A list of b blocks is a b x b grid of groups: a member goes to every query block of its row, a query to every member block.
-    single = placed.where("blocks = 1").select("cell", F.lit(0).cast("long").alias("mb"), F.lit(0).cast("long").alias("qb"), "member", "asks", "id", "vec")
-    large = placed.where("blocks > 1")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    as_members = large.where("member").select("cell", own.alias("mb"), every.alias("qb"), F.lit(True).alias("member"), F.lit(False).alias("asks"), "id", "vec")
-    as_queries = large.where("asks").select("cell", every.alias("mb"), own.alias("qb"), F.lit(False).alias("member"), F.lit(True).alias("asks"), "id", "vec")
-    grouped = single.unionByName(as_members).unionByName(as_queries) if int(lists.blocks.max()) > 1 else single
-
     def scan(group: pa.Table) -> pa.Table:
         lists = shared.value
-        ids = np.array(group.column("id").to_pylist(), object)
-        member, asks = (np.array(group.column(name).to_pylist(), bool) for name in ("member", "asks"))
-        empty = pa.table({"id": pa.array([], pa.string()), "neighbour": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})
+        member = np.array(group.column("id").is_valid().to_numpy(zero_copy_only=False), bool)
+        asks = np.array(group.column("asks").to_numpy(zero_copy_only=False), bool)
         if not member.any() or not asks.any():
-            return empty
+            return pa.table({"num": pa.array([], pa.int64()), "neighbour": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})
+        num = group.column("num").to_numpy()
         turned = unpack(group.column("vec").combine_chunks(), dimensions) @ lists.rotation
-        q_ids, m_ids = ids[asks], ids[member]
+        q_num, m_num = num[asks], num[member]
+        m_ids = group.column("id").filter(pa.array(member)).combine_chunks()
         r, c, cosine = adaptive_scan(turned[asks], turned[member], k, min_similarity)
-        keep = q_ids[r] != m_ids[c]
+        keep = q_num[r] != m_num[c]
         r, c, cosine = r[keep], c[keep], np.round(cosine[keep], 12)
-        order = np.lexsort((m_ids[c].astype(str), -cosine, r))
+        smaller = np.empty(len(m_ids), np.int64)
+        smaller[np.argsort(np.array(m_ids.cast(pa.binary()).to_pylist(), object), kind="stable")] = np.arange(len(m_ids))
+        order = np.lexsort((smaller[c], -cosine, r))
         r, c, cosine = r[order], c[order], cosine[order]
         begins = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.empty(0, np.int64)
-        place = np.arange(len(r)) - np.repeat(begins, np.diff(np.r_[begins, len(r)]))
-        best = place < k
-        return pa.table({"id": pa.array(q_ids[r[best]], pa.string()), "neighbour": pa.array(m_ids[c[best]], pa.string()), "similarity": pa.array(cosine[best], pa.float64())})
+        best = np.arange(len(r)) - np.repeat(begins, np.diff(np.r_[begins, len(r)])) < k
+        return pa.table({"num": pa.array(q_num[r[best]]), "neighbour": m_ids.take(pa.array(c[best])), "similarity": pa.array(cosine[best], pa.float64())})
 
-    met = grouped.groupBy("cell", "mb", "qb").applyInArrow(scan, schema)
-    best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
+    placed = asking.select("id", "vec", "num", "asks").mapInArrow(place, "bin long, num long, id string, vec binary, asks boolean")
+    met = placed.groupBy("bin").applyInArrow(scan, "num long, neighbour string, similarity double")
+    best = Window.partitionBy("num").orderBy(F.desc("similarity"), "neighbour")
     ranked = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    ranked = ranked.select("id", "neighbour", "similarity", "rank")
+    ranked = ranked.join(vectors.select("num", "id"), "num").select("id", "neighbour", "similarity", "rank")
     if not all_copies:
         return ranked
     # Ids beyond the k + 1 smallest of their class of exact copies: their k nearest are the smallest ids of the class.
-    numbered = vectors.withColumn("copy", order)
-    later = numbered.where(F.col("copy") > k + 1).select("id", "vec")
+    later = copies(vectors, k).where(F.col("copy") > k + 1).select("id", "vec")
     if queries is not None:
         later = later.join(queries.select("id").distinct(), "id", "left_semi")
     heads = eligible.where(F.col("copy") <= k).select("vec", F.col("id").alias("neighbour"), F.col("copy").alias("rank"))
@@ -264,8 +282,9 @@ def neighbours(vectors: DataFrame, k: int = K, min_similarity: float | None = No
 
 
 def prepared(chunks: DataFrame, **options) -> DataFrame:
-    """Usable vectors of the chunks, written once because fitting, counting and searching read them."""
-    return checkpointed(usable_vectors(latest_rows(chunks), **options))
+    """``id``, ``vec`` and a number ``num`` of the chunks' usable vectors, written once because fitting, counting and searching read
+    them (and so the numbers stay as they are)."""
+    return checkpointed(usable_vectors(latest_rows(chunks), **options).withColumn("num", F.monotonically_increasing_id()))
 
 
 def mutual_pairs(chunks: DataFrame, k: int = K, min_similarity: float = 0.90, **options) -> DataFrame:
