@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..runtime import broadcast_if_small
+
 
 def latest_by(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the largest by ``order`` (nulls first, then later columns decide), limited before the shuffle."""
@@ -22,9 +24,9 @@ def latest_by(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
 def latest_of_repeated(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """As ``latest_by`` for wide rows with few repeats: only the keys, and the rows of repeated keys, are shuffled.
 
-    The repeated keys are joined as a set; Spark broadcasts it when its measured size allows and shuffles both sides otherwise.
+    The repeated keys are counted first: a small set is broadcast, a large one is joined by a shuffle.
     """
-    repeated = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys)
+    repeated = broadcast_if_small(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys))
     again = latest_by(rows.join(repeated, list(keys), "left_semi"), keys, order)
     return rows.join(repeated, list(keys), "left_anti").select(*rows.columns).unionByName(again.select(*rows.columns))
 

@@ -7,6 +7,10 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Most bytes that a side may have to be broadcast.
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 _shipped: set[str] = set()
 
@@ -64,6 +68,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, row_bytes: int = 128, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` computed once and marked for broadcasting if its counted rows stay under the bound, else as it is for a shuffled join.
+
+    Adaptive execution finds a small side only after the large side's shuffle was started; counting first spares that shuffle.
+    """
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.count() * row_bytes <= most else kept
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give CPU-heavy work behind a scan enough tasks: repartition only when the scan has fewer splits than two per core.
 
