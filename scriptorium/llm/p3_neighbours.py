@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import checkpointed
+from ..operators.store import latest_of_repeated
+from ..runtime import broadcast_if_small, checkpointed
 
 #: Production parameters.
 DIMENSIONS, K, EPSILON, COLUMNS = 64, 10, 2.1, 16
@@ -41,9 +42,7 @@ PROBES, SEARCH_PROBES = 6, 64
 def latest_rows(rows: DataFrame, key: str = "id", order: str = "created_at", value: str = "embedding") -> DataFrame:
     """``key`` and ``value``, of repeated keys the latest row; only repeated keys are shuffled with their values."""
     plain = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(order).alias("at"), F.col(value).alias("value"))
-    repeated = plain.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    resolved = plain.join(repeated, "id", "left_semi").groupBy("id").agg(F.max(F.struct("at", "value")).alias("r")).select("id", "r.value")
-    return plain.join(repeated, "id", "left_anti").select("id", "value").unionByName(resolved)
+    return latest_of_repeated(plain, ["id"], ["at", "value"]).select("id", "value")
 
 
 def pack(vectors: np.ndarray) -> list[bytes]:
@@ -139,11 +138,15 @@ def fit_lists(vectors: DataFrame, dimensions: int = DIMENSIONS, sample: int = SA
     n_rows = vectors.count()
     if not n_rows:
         return None
-    share = min(1.0, 1.2 * sample / n_rows)
-    picked = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(sample).select("vec").toArrow()
+    # A slice of the hash range holds a little more than the sample; sorted by hash and cut, the sample is the same in every run.
+    buckets = 1_000_000
+    wide = min(buckets, int(1.05 * sample / n_rows * buckets) + 1)
+    order = F.xxhash64("id")
+    picked = vectors.where(F.pmod(order, F.lit(buckets)) < wide).select(order.alias("h"), "vec").toArrow()
     if not picked.num_rows:
-        picked = vectors.limit(sample).select("vec").toArrow()
-    return Lists(unpack(picked.column(0).combine_chunks(), dimensions), n_rows, **options)
+        picked = vectors.select(order.alias("h"), "vec").orderBy("h").limit(1).toArrow()
+    picked = picked.sort_by("h").slice(0, sample)
+    return Lists(unpack(picked.column("vec").combine_chunks(), dimensions), n_rows, **options)
 
 
 def adaptive_scan(queries: np.ndarray, members: np.ndarray, k: int, min_similarity: float | None, columns: int = COLUMNS, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,7 +190,7 @@ def copies(vectors: DataFrame, k: int = K) -> DataFrame:
     Only vectors whose hash repeats are shuffled; their number of rows per class is limited before that where a filter follows.
     """
     hashed = vectors.withColumn("vec_hash", F.xxhash64("vec"))
-    repeated = hashed.groupBy("vec_hash").agg(F.count("*").alias("n")).where("n > 1").select("vec_hash")
+    repeated = broadcast_if_small(hashed.groupBy("vec_hash").agg(F.count("*").alias("n")).where("n > 1").select("vec_hash"), row_bytes=16)
     place = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
     several = hashed.join(repeated, "vec_hash", "left_semi").drop("vec_hash").withColumn("copy", place)
     return hashed.join(repeated, "vec_hash", "left_anti").drop("vec_hash").withColumn("copy", F.lit(1)).unionByName(several)
