@@ -66,7 +66,8 @@ def text_search(rows: DataFrame, query: str, k: int = 10, key: str = "id", weigh
     """
     alternatives = read_query(query)
     fields = {name: F.col(f"_t_{name}") for name in weights}
-    analysed = rows.withColumns({f"_t_{name}": analysis.terms(F.col(name)) for name in weights})
+    # A generator keeps the optimizer from copying the analysis into every condition and term that reads it.
+    analysed = rows.select("*", F.inline(F.array(F.struct(*[analysis.terms(F.col(name)).alias(f"_t_{name}") for name in weights]))))
     if not alternatives:
         return analysed.drop(*[f"_t_{n}" for n in weights]).withColumn("rank", F.lit(0.0)).limit(0)
 
