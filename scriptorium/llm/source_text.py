@@ -21,7 +21,7 @@ GENERATOR = re.compile(
     )"""
 )
 NO_EDIT = re.compile(r"(?i)\bdo not (?:edit|modify|change)\b|\bno editar\b|\bnicht (?:von hand )?(?:ändern|bearbeiten)\b|\bne pas (?:modifier|éditer)\b|请勿")
-ABOUT = re.compile(r"(?i)\b(?:template|this module|this script|writer|script|we|writes?|puts?|never commit|rewritten|by hand|below|emits|templates)\b")
+ABOUT = re.compile(r"(?i)\b(?:the template|templates|this module|this script|the script|the writer|we|writes?|puts?|never commit|rewritten|by hand|below|emits)\b")
 UPSTREAM_MARK = re.compile(
     r"(?i)\bupstream copy\b|\bimported verbatim\b|\bcopied from (?:the )?\S+ (?:distribution|project|library|repository|package)\b|\ba small library by\b|\bsingle[- ](?:file|header) edition\b|\bvendored (?:from|copy of)\b|\btaken from (?:the )?\S+ (?:distribution|project|library)\b|\bthird[- ]party (?:code|library|component)\b"
 )

@@ -96,6 +96,7 @@ CASES = [
     ("src/c.py", "# The template below puts DO NOT EDIT at the top of every produced file.\n" + HAND, "lib-core", []),
     ("src/d.py", "# This module writes generated bindings; the writer itself is kept by hand.\n" + HAND, "lib-core", []),
     ("src/e.go", "// Fichier produit par outil ; ne pas modifier.\n" + HAND, "lib-core", ["generated"]),
+    ("src/e2.py", "# AUTOGENERATED -- edit script.tmpl and run maker again\n" + HAND, "lib-core", ["generated"]),
     ("src/f_pb2.py", HAND, "lib-core", ["generated"]),
     ("gen/g.rs", "\n".join(f"pub fn get_{i:03d}(m: &Msg) -> u32 {{ m.slot({i}, {i * 8}) }}" for i in range(40)), "lib-core", ["generated"]),
     ("web/h.js", "!function(e,t,n){" + "".join(f"var {c}=e(t,{i});for(let o=0;o<n.length;o++)t[o]^=n[o];" for i, c in enumerate("abcdefghij" * 6)) + "}();", "lib-core", ["minified"]),
