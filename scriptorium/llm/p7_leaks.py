@@ -102,7 +102,7 @@ class Walk:
         return key
 
 
-SHARED = object()
+SHARED = None  # survives pickling: the index is broadcast to other processes
 
 
 def _owners(windows: list[list[int]], owners: list[int]) -> dict[tuple, set]:

@@ -1,6 +1,7 @@
 """Pages, budgets, encoding, leaks and abuse on small fixtures, with dirty rows."""
 
 import datetime
+import pickle
 from difflib import SequenceMatcher
 from pathlib import Path
 
@@ -190,6 +191,14 @@ def test_leaks_dirty_rows(spark):
     assert report["a"] == (2, 2) and report["b"][0] == 0
 
 
+def test_shared_runs_are_no_evidence_in_the_workers():
+    phrase = "explain why the lamp could not be used"
+    items = {k: f"{phrase} {text}".split() for k, text in made_items(2).items()}
+    index = p7_leaks.ItemIndex(items)
+    for index in (index, pickle.loads(pickle.dumps(index))):
+        assert p7_leaks.words_carried(index, 0, phrase.split(), [0]) == 0
+
+
 # problem 8
 
 
