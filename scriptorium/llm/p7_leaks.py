@@ -4,16 +4,17 @@ Both sides are word sequences in one normal form (compatibility forms, no case,
 ``width`` words are embedded by the CGK random walk: a window is read with a pointer that moves on or stays by a random bit
 per (step, word), so two windows at a small edit distance give strings at a small Hamming distance. Each repetition draws its
 own walk and its own sample of positions; windows that agree on the sampled positions meet. The windows of an item start at
-every word, those of a document at every ``stride`` words. A document and an item that met are verified exactly: the words of
-the item that reappear in order, in runs of at least ``run`` words joined across small edits, must reach ``share`` of the
-item's own words.
+every word, those of a document at every ``stride`` words. Besides, a document meets an item wherever it has a run of ``run``
+words that this item alone has: an exact path, looked up at every word. A document and an item that met are verified exactly:
+the words of the item that reappear in order, in runs of at least ``run`` words joined across small edits, must reach ``share``
+of the item's own words.
 
-Recall: an unedited window pair always meets; for ``e`` edited words in a window of ``width`` the chance that one repetition
-of ``bits`` sampled positions meets is about ``(1 - h) ** bits`` with ``h`` the Hamming share of the embedding, and a leak of
-a third of an item gives several windows, so the misses multiply.
+Recall: the walk alone misses passages with dense edits or short pieces (its windows have one width for every item and stand at
+every ``stride`` words). The exact path misses nothing that the verification accepts, since every piece that counts holds a run
+which only this item has, and pieces are looked for around every such run of the document.
 
 A document window can only be within ``max_edits`` of some item window if at least ``width - max_edits`` of its words occur
-in the items at all; windows that fail this necessary condition are skipped, which loses nothing.
+in the items at all; windows of the walk that fail this are skipped.
 
 Evaluation items are processed in blocks of ``block`` items, each block's index is broadcast, so its size is bounded whatever
 the table's size is; the corpus is read in one narrow pass per block, without a shuffle. Repeated item ids count once (the
@@ -26,7 +27,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -146,12 +147,25 @@ class ItemIndex:
                 order = np.argsort(keys, kind="stable")
                 self.keys.append(keys[order])
                 self.owners.append(owner[order])
+        own = [(gram, key) for gram, key in self.grams.items() if key is not SHARED]
+        hashed = self.run_codes(np.array([[self.codes[w] for w in gram] for gram, _ in own], np.uint64).reshape(-1, RUN).T)
+        order = np.argsort(hashed, kind="stable")
+        self.own_runs, self.run_owners = hashed[order], np.array([key for _, key in own], np.int64)[order]
+
+    @staticmethod
+    def run_codes(columns: Iterable[np.ndarray]) -> np.ndarray:
+        """64-bit code of runs given word by word; equal runs have equal codes, a collision only costs a verification."""
+        out = np.uint64(0)
+        for column in columns:
+            out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
 
     def candidates(self, texts: list[list[str]], stride: int = STRIDE, max_edits: int = MAX_EDITS) -> dict[tuple[int, int], list[int]]:
-        """(text number, item) -> word positions of the text's windows that met one of the item's windows."""
+        """(text number, item) -> word positions of the text's windows that met one of the item's windows, and of runs that are the item's own."""
         out: dict[tuple[int, int], list[int]] = defaultdict(list)
         width = self.width
-        if not self.keys:
+        if not self.items:
             return out
         get, flat, ends = self.codes.get, [], []
         for words in texts:
@@ -167,6 +181,7 @@ class ItemIndex:
         starts = begins[owner] + stride * (np.arange(len(owner)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows))
         known = np.concatenate([[0], np.cumsum(codes != 0)])
         lengths = np.array([len(words) for words in texts])
+        self._meet_runs(codes, begins, ends, out)
         near = known[starts + width] - known[starts] >= np.minimum(width, lengths[owner]) - max_edits
         near &= lengths[owner] > 0
         starts, owner = starts[near], owner[near]
@@ -179,6 +194,23 @@ class ItemIndex:
                     out[int(owner[i]), item].append(int(starts[i] - begins[owner[i]]))
         return out
 
+    def _meet_runs(self, codes: np.ndarray, begins: np.ndarray, ends: np.ndarray, out: dict[tuple[int, int], list[int]]) -> None:
+        """Adds the position of every run of the texts that one item alone has."""
+        text = np.repeat(np.arange(len(ends)), ends - begins)
+        last = len(codes) - RUN + 1
+        if last < 1:
+            return
+        whole = text[:last] == text[RUN - 1 :]
+        for k in range(RUN):
+            whole &= codes[k : last + k] != 0
+        at = np.flatnonzero(whole)
+        runs = self.run_codes(codes[at + k].astype(np.uint64) for k in range(RUN))
+        low, high = np.searchsorted(self.own_runs, runs, "left"), np.searchsorted(self.own_runs, runs, "right")
+        for i in np.flatnonzero(high > low):
+            row = int(text[at[i]])
+            for item in set(self.run_owners[low[i] : high[i]].tolist()):
+                out[row, item].append(int(at[i] - begins[row]))
+
 
 def common_in_order(a: list[str], b: list[str]) -> int:
     """Longest common subsequence of two short lists."""
@@ -192,8 +224,18 @@ def common_in_order(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-def words_carried(index: ItemIndex, key: int, document: list[str], spots: list[int], run: int = RUN, gap: int = GAP) -> int:
-    """Words of item ``key`` that ``document`` carries in the item's order.
+def most_carried(ordered: list[tuple[int, int, int, bool]], gap: int) -> int:
+    """No chain of the runs (sorted by place in the item) carries more: the item's words in runs and in gaps that may be joined."""
+    total = end = 0
+    for i, _, n, _ in ordered:
+        begin = end if total and i - end <= gap else i
+        total += max(0, i + n - begin)
+        end = max(end, i + n)
+    return total
+
+
+def words_carried(index: ItemIndex, key: int, document: list[str], spots: list[int], run: int = RUN, gap: int = GAP, least: float = 0) -> int:
+    """Words of item ``key`` that ``document`` carries in the item's order; 0 where it can't reach ``least``.
 
     Around the spots, runs of at least ``run`` equal words are found; neighbouring runs with at most ``gap`` words between
     them on either side form a piece, together with the equal words in those gaps. A piece counts only if one of its runs
@@ -201,7 +243,7 @@ def words_carried(index: ItemIndex, key: int, document: list[str], spots: list[i
     The best chain of pieces in the item's order gives the result.
     """
     item = index.items[key]
-    near = len(item)
+    near = len(item) * (run + gap)  # a piece has a run and a gap at most for each word of the item
     spans: list[list[int]] = []
     for spot in sorted(spots):
         low, high = max(0, spot - near), min(len(document), spot + near + index.width)
@@ -226,7 +268,7 @@ def words_carried(index: ItemIndex, key: int, document: list[str], spots: list[i
                 open_runs[d - i] = (begin, length, had)
                 runs[d - i, begin] = (begin - (d - i), begin, length, had)
     ordered = sorted(runs.values())
-    if not any(r[3] for r in ordered):
+    if not any(r[3] for r in ordered) or most_carried(ordered, gap) < least:
         return 0
     # Chains: a run may follow in the same piece (near) or start a further piece (anywhere later in both).
     piece = [(0, False)] * len(ordered)
@@ -270,8 +312,9 @@ def leak_matches(documents: DataFrame, items: DataFrame, key: str = "doc_id", te
                 for at in range(0, batch.num_rows, 200):
                     texts = [words_of(value) for value in batch.column(1).slice(at, 200).to_pylist()]
                     for (row, item), spots in index.candidates(texts).items():
-                        n = words_carried(index, item, texts[row], spots)
-                        if n >= share * len(index.items[item]):
+                        least = share * len(index.items[item])
+                        n = words_carried(index, item, texts[row], spots, least=least)
+                        if n >= least:
                             keys.append(at + row)
                             found.append(item)
                             carried.append(n)

@@ -177,6 +177,26 @@ def test_leaks_against_brute_force(spark):
     assert blocks == truth
 
 
+def test_leaks_edited_densely_or_in_short_pieces(spark):
+    """Half an item with every 4th to 8th word edited, or in pieces of 6 to 9 words far apart, is always found."""
+    items = made_items(40)
+    docs, truth = [], set()
+    for k, text in items.items():
+        words = text.split()
+        half = words[15:47]
+        fillers = iter(range(100_000))
+        filler = lambda n: [f"other{next(fillers)}" for _ in range(n)]  # noqa: B023, E731
+        for every in (4, 5, 6, 7, 8):
+            docs.append((len(docs), None, " ".join(filler(30) + [f"edit{i}" if i % every == every - 1 else w for i, w in enumerate(half)] + filler(30))))
+            truth.add((len(docs) - 1, k))
+        for size in (6, 7, 8, 9):
+            pieces = [words[i : i + size] + filler(150) for i in range(0, 4 * size + 4, size + 1)]
+            docs.append((len(docs), None, " ".join(w for piece in pieces for w in piece)))
+            truth.add((len(docs) - 1, k))
+    table = spark.createDataFrame([(k, "s", t) for k, t in items.items()], "item_id long, suite string, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in p7_leaks.found(documents(spark, *docs), table).collect()} == truth
+
+
 def test_leaks_dirty_rows(spark):
     shared = "Answer the following question with a single word please."
     items = spark.createDataFrame(
