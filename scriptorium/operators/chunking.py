@@ -42,6 +42,16 @@ def sections(documents: DataFrame, key: str = "doc_id", content: str = "raw_cont
     return named.where(F.col("body") != "")
 
 
+def overview_chunks(documents: DataFrame, content: str = "raw_content") -> DataFrame:
+    """One ``class_overview`` chunk with the whole text for every document that has one."""
+    text, title = T.uniform_lines(F.col(content)), F.coalesce("title", T.title_of(F.col(content), F.col("path")))
+    kept = documents.select("doc_id", title.alias("heading"), text.alias("content")).where(T.strip(F.col("content")) != "")
+    return kept.select(
+        "doc_id", F.lit(0).alias("chunk_index"), F.lit("class_overview").alias("chunk_type"), F.col("heading").alias("parent_name"), F.col("heading").alias("qualified_name"), "heading",
+        T.first_sentence(F.col("content")).alias("summary"), "content", T.token_estimate(F.col("content")).alias("token_count"),
+    )
+
+
 def chunk_text(documents: DataFrame, content: str = "raw_content", most: int = MAX_CHARACTERS) -> DataFrame:
     """Chunks of prose documents: one per section, more where a section is too long.
 

@@ -24,16 +24,22 @@ def language_of(path: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])[T.path_suffix(path)]
 
 
+def _declared(language: Column, line: Column) -> tuple[Column, Column]:
+    """Kind and name of the declaration in a line; null where there is none."""
+    kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for lang, patterns in PATTERNS.items():
+        for label, pattern in reversed(patterns):
+            hit = (language == lang) & line.rlike(pattern)
+            kind = F.when(hit, label).otherwise(kind)
+            name = F.when(hit, F.regexp_extract(line, pattern, 1)).otherwise(name)
+    return kind, name
+
+
 def declarations(documents: DataFrame, content: str = "raw_content") -> DataFrame:
     """``doc_id``, ``line_no`` (from 0), ``language``, ``kind``, ``name`` and ``signature`` of every declaration line; a narrow plan."""
     files = documents.where(~T.is_url(F.col("path"))).select("doc_id", language_of(F.col("path")).alias("language"), T.uniform_lines(F.col(content)).alias("code")).where(F.col("language").isNotNull())
     lines = files.select("doc_id", "language", F.posexplode(F.split("code", "\n")).alias("line_no", "line"))
-    kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for language, patterns in PATTERNS.items():
-        for label, pattern in reversed(patterns):
-            hit = (F.col("language") == language) & F.col("line").rlike(pattern)
-            kind = F.when(hit, label).otherwise(kind)
-            name = F.when(hit, F.regexp_extract("line", pattern, 1)).otherwise(name)
+    kind, name = _declared(F.col("language"), F.col("line"))
     found = lines.select("doc_id", "line_no", "language", kind.alias("kind"), name.alias("name"), "line")
     return found.where(F.col("kind").isNotNull()).select("doc_id", "line_no", "language", "kind", "name", T.strip(F.regexp_replace("line", r"[\s{:]+$", "")).alias("signature"))
 
@@ -45,6 +51,61 @@ def with_parents(found: DataFrame) -> DataFrame:
     return found.withColumn("parent", F.when(F.col("kind") == "method", last))
 
 
+# Lines that belong to the declaration right below them: comments, decorators, attributes.
+_ATTACHED = {"hash": r"^\s*(?:#|@)", "slash": r"^\s*(?://|/\*|\*(?:[\s/]|$)|@|#\[)"}
+# In these languages a function at the start of a line has no enclosing type.
+_FREE = ("python", "rust", "typescript")
+
+
+def declares(path: Column, content: Column) -> Column:
+    """Whether any line of a source file is a declaration."""
+    language = language_of(path)
+    return F.coalesce(F.exists(F.split(T.uniform_lines(content), "\n"), lambda line: _declared(language, line)[0].isNotNull()), F.lit(False))
+
+
+def source_chunks(documents: DataFrame, content: str = "raw_content") -> DataFrame:
+    """A chunk for every declaration of a source file: its lines up to the next declaration, with the comments and decorators above it.
+
+    ``doc_id``, ``chunk_index`` (order in the file), ``chunk_type``, ``parent_name``, ``qualified_name``, ``heading``, ``summary``, ``content``,
+    ``token_count``, ``first_line``, ``last_line`` (from 0). Lines above the first declaration start no chunk; a narrow plan.
+    """
+    language = F.col("language")
+    files = documents.select("doc_id", T.path_stem(F.col("path")).alias("stem"), language_of(F.col("path")).alias("language"), F.split(T.uniform_lines(F.col(content)), "\n").alias("lines")).where(language.isNotNull())
+
+    def mark(line: Column, number: Column) -> Column:
+        kind, name = _declared(language, line)
+        above = F.when(language.isin("python", "gdscript"), line.rlike(_ATTACHED["hash"])).otherwise(line.rlike(_ATTACHED["slash"]))
+        return F.struct(number.alias("no"), kind.alias("kind"), name.alias("name"), (kind.isNull() & above).alias("attached"), line.rlike(r"^\S").alias("outer"))
+
+    lines = files.withColumn("marks", F.transform("lines", mark)).withColumn("marks", F.filter("marks", lambda m: ~m["attached"]))
+    began = lambda m, at: F.struct(m["no"].alias("no"), m["kind"].alias("kind"), m["name"].alias("name"), m["outer"].alias("outer"), F.when(at == 0, 0).otherwise(F.get("marks", at - 1)["no"] + 1).alias("first"))
+    found = lines.withColumn("found", F.transform("marks", began)).withColumn("found", F.filter("found", lambda m: m["kind"].isNotNull()))
+    types = found.withColumn("types", F.filter("found", lambda m: m["kind"] == "class"))
+
+    def chunk(m: Column, at: Column) -> Column:
+        end = F.coalesce(F.get("found", at + 1)["first"], F.size("lines"))
+        free = language.isin(*_FREE) & m["outer"]
+        last = F.try_element_at(F.filter("types", lambda t: t["no"] < m["no"]), F.lit(-1))["name"]
+        parent = F.when((m["kind"] == "method") & ~free, last)
+        text = F.array_join(F.slice("lines", m["first"] + 1, end - m["first"]), "\n")
+        return F.struct(m["kind"].alias("kind"), m["name"].alias("name"), parent.alias("parent"), m["no"].alias("no"), F.get("lines", m["no"]).alias("line"), m["first"].alias("first_line"), (end - 1).alias("last_line"), F.regexp_replace(text, r"\s+$", "").alias("content"))
+
+    flat = types.select("doc_id", "stem", "language", F.posexplode(F.transform("found", chunk)).alias("chunk_index", "c"))
+    return flat.select(
+        "doc_id",
+        "chunk_index",
+        F.when(F.col("c.kind") == "class", "class_overview").when((language == "glsl") & (F.col("c.name") == "main"), "shader_entry_point").otherwise(F.col("c.kind")).alias("chunk_type"),
+        F.concat_ws(".", "stem", "c.parent").alias("parent_name"),
+        F.concat_ws(".", "stem", "c.parent", "c.name").alias("qualified_name"),
+        F.col("c.name").alias("heading"),
+        T.strip(F.regexp_replace("c.line", r"[\s{:]+$", "")).alias("summary"),
+        F.col("c.content").alias("content"),
+        T.token_estimate(F.col("c.content")).alias("token_count"),
+        F.col("c.first_line").alias("first_line"),
+        F.col("c.last_line").alias("last_line"),
+    )
+
+
 def symbol_agreement(documents: DataFrame, symbols: DataFrame) -> DataFrame:
     """Per chunk type of the stored symbols: how many distinct (file, name) pairs a declaration line confirms."""
     stored = symbols.where(F.col("name").isNotNull()).select("doc_id", "name", "chunk_type").distinct()

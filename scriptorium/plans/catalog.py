@@ -12,6 +12,7 @@ from ..operators import chunking, crawl, export, search, stats, store, symbols
 from ..runtime import ensure_checkpoint_dir, table
 from ..sources import files, markup
 from ..streaming import incremental
+from . import pipeline
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -76,8 +77,8 @@ def section_bodies(spark, d):
 
 @query()
 def chunk_documents(spark, d):
-    documents = table(spark, d, "documents").where((F.col("doc_type") != "class_ref") | F.col("doc_type").isNull())
-    return chunking.chunk_text(documents).select("doc_id", "chunk_index", "qualified_name", "summary", "token_count", F.md5("content").alias("content_hash"))
+    chunks = pipeline.route_chunks(table(spark, d, "documents"))
+    return chunks.select("doc_id", "chunk_index", "chunk_type", "qualified_name", "summary", "token_count", F.md5("content").alias("content_hash"))
 
 
 @query("""

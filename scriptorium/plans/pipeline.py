@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import export, search
-from ..operators.chunking import chunk_text
+from ..operators.chunking import chunk_text, overview_chunks
 from ..operators.store import Snapshots, detect_changes, replace_chunks, upsert
+from ..operators.symbols import declares, language_of, source_chunks
+from ..sources import api
 
 
 def document_rows(scanned: DataFrame, source_name: str, source_version: str) -> DataFrame:
@@ -21,6 +24,37 @@ def document_rows(scanned: DataFrame, source_name: str, source_version: str) ->
     )
 
 
+CHUNK = ["doc_id", "chunk_index", "chunk_type", "parent_name", "qualified_name", "heading", "summary", "content", "token_count"]
+
+
+def route_chunks(documents: DataFrame) -> DataFrame:
+    """Chunks of every document by its kind: ``doc_id``, ``path``, ``title``, ``doc_type`` and ``raw_content`` to the columns of ``CHUNK``.
+
+    Class references go by their path: source files to their declarations, XML and JSON descriptions to their parts, all others (pages) to
+    one overview, as do files in which nothing is declared or described. Everything else is prose.
+    """
+    text = F.col("raw_content")
+    is_class, suffix = F.coalesce(F.col("doc_type") == "class_ref", F.lit(False)), F.when(~T.is_url(F.col("path")), T.path_suffix(F.col("path")))
+    kind = F.when(~is_class, "prose").when(F.when(suffix != "", language_of(F.col("path"))).isNotNull(), "source").when(suffix.isin("xml", "json"), suffix).otherwise("page")
+    known = documents.select("doc_id", "path", "title", "raw_content", kind.alias("kind"))
+    of = lambda name: known.where(F.col("kind") == name)
+    prose = chunk_text(of("prose")).withColumn("chunk_type", F.lit("tutorial_section"))
+    prose = prose.join(of("prose").select("doc_id", F.coalesce("title", T.title_of(text, F.col("path"))).alias("parent_name")), "doc_id").select(*CHUNK)
+    sources = source_chunks(of("source")).select(*CHUNK)
+    undeclared = of("source").where(~declares(F.col("path"), text))
+    parts = _described(api.xml_chunks(of("xml").select("doc_id", F.from_xml(text, api.CLASS_XML, {"rowTag": "class", "valueTag": "inner_text"}).alias("c")).select("doc_id", "c.*"), ["doc_id"]))
+    parts = parts.unionByName(_described(api.json_chunks(of("json").select("doc_id", F.from_json(text, api.API_JSON).alias("c")).select("doc_id", "c.*"), ["doc_id"])))
+    undescribed = known.where(F.col("kind").isin("xml", "json")).join(parts.select("doc_id").distinct(), "doc_id", "left_anti")
+    overviews = overview_chunks(of("page").unionByName(undeclared).unionByName(undescribed.select(*known.columns)))
+    return prose.unionByName(sources).unionByName(parts).unionByName(overviews.select(*CHUNK))
+
+
+def _described(parts: DataFrame) -> DataFrame:
+    """API chunks under a running index per document: overviews first, then by kind and name."""
+    order = Window.partitionBy("doc_id").orderBy(F.col("chunk_type") != "class_overview", "chunk_type", "qualified_name", "content")
+    return parts.withColumn("chunk_index", F.row_number().over(order) - 1).withColumn("heading", F.substring_index("qualified_name", ".", -1)).select(*CHUNK)
+
+
 def run_ingest(spark: SparkSession, store: str, scanned: DataFrame, source_name: str, source_version: str = "latest") -> dict[str, int]:
     """Merge scanned documents into the store and re-chunk those that are new or changed; returns counts."""
     snapshots = Snapshots(spark, store)
@@ -30,8 +64,8 @@ def run_ingest(spark: SparkSession, store: str, scanned: DataFrame, source_name:
     changed = changed.persist()
     n_changed = changed.count()
     if n_changed:
-        fresh = chunk_text(changed.withColumnRenamed("id", "doc_id")).withColumnRenamed("doc_id", "document_id")
-        fresh = fresh.join(changed.select(F.col("id").alias("document_id"), F.col("source").alias("source_name"), "source_version", F.col("title").alias("parent_name"), F.when(F.col("doc_type") == "class_ref", "class_overview").otherwise("tutorial_section").alias("chunk_type")), "document_id")
+        fresh = route_chunks(changed.withColumnRenamed("id", "doc_id")).withColumnRenamed("doc_id", "document_id")
+        fresh = fresh.join(changed.select(F.col("id").alias("document_id"), F.col("source").alias("source_name"), "source_version"), "document_id")
         fresh = fresh.withColumn("id", F.md5(F.concat_ws("\n", "document_id", F.col("chunk_index").cast("string"))))
         snapshots.write("chunks", fresh if chunks is None else replace_chunks(chunks, changed.select(F.col("id").alias("document_id")), fresh))
         snapshots.write("documents", incoming if stored is None else upsert(stored, changed, ["id"], [c for c in changed.columns if c != "id"]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -39,29 +41,29 @@ def parameters(params: Column, name: str, kind: str, default: str) -> Column:
     return F.array_join(F.transform(F.coalesce(params, F.array()), one), ", ")
 
 
-def finish(rows: DataFrame) -> DataFrame:
-    """Naming, summary and token estimate of chunk rows with ``parent_name``, ``name``, ``chunk_type``, ``content``."""
+def finish(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Naming, summary and token estimate of chunk rows with ``parent_name``, ``name``, ``chunk_type``, ``content``; ``keys`` are kept."""
     qualified = F.when(F.col("chunk_type") == "class_overview", F.col("parent_name")).otherwise(F.concat_ws(".", "parent_name", "name"))
     return rows.where(_or_empty(F.col("name")) != "").select(
-        "parent_name", qualified.alias("qualified_name"), "chunk_type", T.first_sentence(_or_empty(F.col("about"))).alias("summary"), "content", T.token_estimate(F.col("content")).alias("token_count")
+        *keys, "parent_name", qualified.alias("qualified_name"), "chunk_type", T.first_sentence(_or_empty(F.col("about"))).alias("summary"), "content", T.token_estimate(F.col("content")).alias("token_count")
     )
 
 
-def xml_chunks(classes: DataFrame) -> DataFrame:
-    """Chunks of class descriptions read with ``CLASS_XML``: overview, methods, members, signals, constants."""
+def xml_chunks(classes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Chunks of class descriptions read with ``CLASS_XML``: overview, methods, members, signals, constants; ``keys`` are kept."""
     c = classes.where(F.col("_name").isNotNull())
     about = T.strip(F.concat_ws("\n\n", T.strip(F.col("brief_description")), T.strip(F.col("description"))))
-    overview = c.select(F.col("_name").alias("parent_name"), F.col("_name").alias("name"), F.lit("class_overview").alias("chunk_type"), about.alias("about"), F.concat_ws("\n", F.concat(F.lit("# "), "_name"), F.concat(F.lit("Inherits: "), "_inherits"), about).alias("content"))
+    overview = c.select(*keys, F.col("_name").alias("parent_name"), F.col("_name").alias("name"), F.lit("class_overview").alias("chunk_type"), about.alias("about"), F.concat_ws("\n", F.concat(F.lit("# "), "_name"), F.concat(F.lit("Inherits: "), "_inherits"), about).alias("content"))
 
     def part(items: str, kind: Column, signature: Column, said: Column) -> DataFrame:
-        flat = c.select(F.col("_name").alias("parent_name"), F.explode(items).alias("m"))
-        return flat.select("parent_name", F.col("m._name").alias("name"), kind.alias("chunk_type"), T.strip(_or_empty(said)).alias("about"), F.concat_ws("\n\n", signature, F.nullif(T.strip(_or_empty(said)), F.lit(""))).alias("content"))
+        flat = c.select(*keys, F.col("_name").alias("parent_name"), F.explode(items).alias("m"))
+        return flat.select(*keys, "parent_name", F.col("m._name").alias("name"), kind.alias("chunk_type"), T.strip(_or_empty(said)).alias("about"), F.concat_ws("\n\n", signature, F.nullif(T.strip(_or_empty(said)), F.lit(""))).alias("content"))
 
     methods = part("methods.method", F.lit("method"), F.concat(F.coalesce(F.col("m.return._type"), F.lit("void")), F.lit(" "), F.col("m._name"), F.lit("("), parameters(F.col("m.param"), "_name", "_type", "_default"), F.lit(")")), F.col("m.description"))
     members = part("members.member", F.lit("property"), F.concat_ws(" ", F.col("m._type"), F.col("m._name"), F.when(F.col("m._default").isNotNull(), F.concat(F.lit("= "), F.col("m._default")))), F.col("m.inner_text"))
     signals = part("signals.signal", F.lit("signal"), F.concat(F.lit("signal "), F.col("m._name"), F.lit("("), parameters(F.col("m.param"), "_name", "_type", "_default"), F.lit(")")), F.col("m.description"))
     constants = part("constants.constant", F.when(F.col("m._enum").isNotNull(), "enum").otherwise("constant"), F.concat_ws(" = ", F.col("m._name"), F.col("m._value")), F.col("m.inner_text"))
-    return finish(overview.unionByName(methods).unionByName(members).unionByName(signals).unionByName(constants))
+    return finish(overview.unionByName(methods).unionByName(members).unionByName(signals).unionByName(constants), keys)
 
 
 def scan_xml(spark: SparkSession, root: str) -> DataFrame:
@@ -76,16 +78,16 @@ def signature(m: Column) -> Column:
     return F.concat(m["name"], F.lit("("), parameters(m["arguments"], "name", "value_type", "default_value"), F.lit(")"), result, F.when(F.size(flags) > 0, F.concat(F.lit(" ["), F.array_join(flags, ", "), F.lit("]"))).otherwise(""))
 
 
-def json_chunks(files: DataFrame) -> DataFrame:
-    """Chunks of API files read with ``API_JSON``: types with members, enums and global functions."""
-    types = files.select(F.explode(F.concat(F.coalesce("classes", F.array()), F.coalesce("structs", F.array()))).alias("t")).where(F.col("t.name").isNotNull())
-    row = lambda df, parent, name, kind, about, content: df.select(parent.alias("parent_name"), name.alias("name"), F.lit(kind).alias("chunk_type"), about.alias("about"), content.alias("content"))
+def json_chunks(files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Chunks of API files read with ``API_JSON``: types with members, enums and global functions; ``keys`` are kept."""
+    types = files.select(*keys, F.explode(F.concat(F.coalesce("classes", F.array()), F.coalesce("structs", F.array()))).alias("t")).where(F.col("t.name").isNotNull())
+    row = lambda df, parent, name, kind, about, content: df.select(*keys, parent.alias("parent_name"), name.alias("name"), F.lit(kind).alias("chunk_type"), about.alias("about"), content.alias("content"))
     doc = lambda c: F.nullif(T.strip(_or_empty(c)), F.lit(""))
     overview = row(types, F.col("t.name"), F.col("t.name"), "class_overview", F.col("t.doc_comments"), F.concat_ws("\n\n", F.concat(F.lit("# "), F.col("t.name")), doc(F.col("t.doc_comments"))))
-    methods = types.select(F.col("t.name").alias("p"), F.explode("t.methods").alias("m"))
-    properties = types.select(F.col("t.name").alias("p"), F.explode("t.properties").alias("m"))
-    enums = files.select(F.explode("enums").alias("m"))
-    functions = files.select(F.explode("functions").alias("m"))
+    methods = types.select(*keys, F.col("t.name").alias("p"), F.explode("t.methods").alias("m"))
+    properties = types.select(*keys, F.col("t.name").alias("p"), F.explode("t.properties").alias("m"))
+    enums = files.select(*keys, F.explode("enums").alias("m"))
+    functions = files.select(*keys, F.explode("functions").alias("m"))
     m = F.col("m")
     parts = [
         overview,
@@ -97,7 +99,7 @@ def json_chunks(files: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return finish(out)
+    return finish(out, keys)
 
 
 def scan_json(spark: SparkSession, path: str) -> DataFrame:

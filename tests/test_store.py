@@ -59,6 +59,52 @@ def test_ingest_again_changes_only_what_changed(spark, tmp_path):
     assert any((tmp_path / "out" / "pages").rglob("*.txt")) and any((tmp_path / "out" / "index").rglob("*.txt"))
 
 
+PYTHON = "# Copyright\nimport os\n\nLIMIT = 3\n\n\n# A tree.\n@final\nclass Tree:\n    # walks it\n    def walk(self):\n        # inside\n        return 1\n\n\ndef free():\n    return 2\n"
+XML = '<class name="Node" inherits="Object"><brief_description>A node.</brief_description><description></description><methods><method name="run"><return type="int"/><param index="0" name="n" type="int"/><description>Runs.</description></method></methods></class>'
+JSON = '{"classes": [{"name": "AActor", "doc_comments": "An actor.", "methods": [{"name": "Tick", "return_type": "void", "doc_comments": "Each frame."}]}], "functions": [{"name": "Abs"}]}'
+
+
+def routed(spark):
+    rows = [
+        (1, "src/tree.py", "class_ref", PYTHON),
+        (2, "https://h.example/classes/class_node.html", "class_ref", "# Node\nA node. It runs.\n## Methods\nrun()"),
+        (3, "doc/Node.xml", "class_ref", XML),
+        (4, "doc/api.json", "class_ref", JSON),
+        (5, "doc/guide.md", "guide", "# One\nfirst\n# Two\nsecond"),
+        (6, None, None, "plain words"),
+        (7, "src/data.py", "class_ref", "import os\r\nprint(1)"),
+        (8, "doc/broken.xml", "class_ref", "no markup"),
+        (9, "src/none.py", "class_ref", None),
+        (10, "src/a.hlsl", "class_ref", "float4 f() { }"),
+        (11, "src/b.go", "class_ref", "func Run() {\n}\ntype Box struct {\n}"),
+    ]
+    return spark.createDataFrame([(i, path, f"t{i}", kind, text, str(i)) for i, path, kind, text in rows], "doc_id long, path string, title string, doc_type string, raw_content string, content_hash string")
+
+
+def test_every_document_is_chunked_by_its_kind(spark):
+    chunks = {}
+    for r in pipeline.route_chunks(routed(spark)).orderBy("doc_id", "chunk_index").collect():
+        chunks.setdefault(r["doc_id"], []).append(r)
+    names = {k: [(r["chunk_index"], r["chunk_type"], r["qualified_name"]) for r in rows] for k, rows in chunks.items()}
+    assert names[1] == [(0, "constant", "tree.LIMIT"), (1, "class_overview", "tree.Tree"), (2, "method", "tree.Tree.walk"), (3, "method", "tree.free")]
+    assert [r["content"] for r in chunks[1]] == ["LIMIT = 3", "# A tree.\n@final\nclass Tree:", "    # walks it\n    def walk(self):\n        # inside\n        return 1", "def free():\n    return 2"]
+    assert names[2] == [(0, "class_overview", "t2")] and chunks[2][0]["content"].endswith("run()")
+    assert names[3] == [(0, "class_overview", "Node"), (1, "method", "Node.run")]
+    assert [n[2] for n in names[4]] == ["AActor", "AActor.Tick", "Global.Abs"]
+    assert [n[2] for n in names[5]] == ["t5.One", "t5.Two"] and names[6] == [(0, "tutorial_section", "t6.t6")]
+    assert names[7] == [(0, "class_overview", "t7")] and chunks[8][0]["content"] == "no markup" and names[10] == [(0, "class_overview", "t10")]
+    assert [n[2] for n in names[11]] == ["b.Run", "b.Box"]
+    assert set(chunks) == {1, 2, 3, 4, 5, 6, 7, 8, 10, 11}
+
+
+def test_ingest_chunks_source_files_by_declaration(spark, tmp_path):
+    store_path = str(tmp_path / "store")
+    pipeline.run_ingest(spark, store_path, routed(spark).drop("doc_id"), "lib", "1")
+    stored = store.Snapshots(spark, store_path).read("chunks")
+    assert {r["qualified_name"] for r in stored.where("content LIKE '%def %'").collect()} == {"tree.Tree.walk", "tree.free"}
+    assert stored.where("qualified_name = 'Copyright' OR heading = 'Copyright'").count() == 0
+
+
 def test_code_scan(spark, tmp_path):
     for name, text in {"a.py": "x = 1\n", "pkg/__init__.py": "y = 1\n", "node_modules/b.js": "z\n", "blank.go": " \n", "gen/skip_me.rs": "fn a() {}\n"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
