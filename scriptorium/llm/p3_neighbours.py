@@ -9,9 +9,9 @@ The threshold is the distance that belongs to ``min_similarity`` or the k-th bes
 Accuracy loss comes from the lists not probed and from the test (``epsilon``); recall against brute force is measured in the
 tests and by ``p3_recall``.
 
-Scale: the index is fitted on at most ``sample`` vectors in hash order (centroids of at most ``max_lists`` lists are broadcast:
-65,536 x 64 floats is 16 MB), and every row is indexed. The number of lists follows the number of rows, so lists keep their
-size; nearest lists are found in two levels, so the assignment costs about the square root of their number. Vectors travel once
+Scale: the index is fitted on at most ``sample`` vectors in hash order (centroids of at most ``sample`` / 8 lists are broadcast:
+5,000 x 64 floats is 1.3 MB), and every row is indexed. The number of lists follows the number of rows up to that bound (2.56
+million rows); beyond it the lists grow. Every vector is compared with all centroids. Vectors travel once
 per probed list, in half precision where that is exact; queries travel under a number instead of their id. Lists that the sample shows to be larger than ``block`` are cut into
 member and query blocks by hash, so no group outgrows a task. Of exact copies only the ``k + 1`` smallest ids can be among
 anyone's k nearest (ties go to the smaller id), so only these enter the lists, limited before the shuffle; all ids get results.
@@ -77,7 +77,7 @@ def usable_vectors(rows: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
 
 
 class Lists:
-    """Rotation and centroids in two levels, fitted on a bounded sample."""
+    """Rotation and centroids, fitted on a bounded sample, which also bounds their number to an eighth of it."""
 
     def __init__(self, sample: np.ndarray, n_rows: int, list_size: int = LIST_SIZE, max_lists: int = MAX_LISTS, block: int = BLOCK, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -87,10 +87,6 @@ class Lists:
         turned = (sample @ self.rotation).astype(np.float32)
         n_lists = int(np.clip(min(n_rows // list_size, len(sample) // 8), 1, max_lists))
         self.centroids = self.means(turned, n_lists, rng)
-        self.coarse = self.means(self.centroids, int(sqrt(n_lists)), rng) if n_lists > 4096 else None
-        if self.coarse is not None:
-            nearest = self.nearest(self.centroids, self.coarse, 1)[:, 0]
-            self.under = [np.flatnonzero(nearest == c) for c in range(len(self.coarse))]
         sizes = np.bincount(self.assign(turned, 1)[:, 0], minlength=n_lists) * (n_rows / max(1, len(turned)))
         self.blocks = np.maximum(1, np.ceil(sizes / block)).astype(np.int64)
 
@@ -121,16 +117,7 @@ class Lists:
 
     def assign(self, turned: np.ndarray, probes: int) -> np.ndarray:
         """The nearest lists of each rotated vector, the nearest first."""
-        if self.coarse is None:
-            return self.nearest(turned, self.centroids, probes)
-        wide = self.nearest(turned, self.coarse, max(4, int(sqrt(probes)) * 3))
-        out = np.empty((len(turned), min(probes, len(self.centroids))), np.int64)
-        for row, groups in enumerate(wide):
-            near = np.concatenate([self.under[g] for g in groups])
-            score = self.centroids[near] @ turned[row] - 0.5 * (self.centroids[near] ** 2).sum(axis=1)
-            order = np.argsort(-score)[: out.shape[1]]
-            out[row] = near[np.resize(order, out.shape[1])]
-        return out
+        return self.nearest(turned, self.centroids, probes)
 
 
 def fit_lists(vectors: DataFrame, dimensions: int = DIMENSIONS, sample: int = SAMPLE, **options) -> Lists | None:

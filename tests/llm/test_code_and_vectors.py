@@ -14,6 +14,17 @@ T0 = datetime.datetime(2024, 1, 1)
 # problem 3
 
 
+def test_many_lists_are_all_compared():
+    rng = np.random.default_rng(4)
+    sample = rng.standard_normal((33_000, 8)).astype(np.float32)
+    lists = p3_neighbours.Lists(sample, 3_000_000)
+    assert len(lists.centroids) > 4096
+    turned = (sample[:400] @ lists.rotation).astype(np.float32)
+    score = turned @ lists.centroids.T - 0.5 * (lists.centroids**2).sum(axis=1)
+    kept = np.sort(np.take_along_axis(score, lists.assign(turned, 6), 1), axis=1)
+    assert np.allclose(kept, np.sort(score, axis=1)[:, -6:])
+
+
 def chunk_table(spark, vectors, extra=()):
     rows = [(f"id{i:05d}", [float(x) for x in v], T0) for i, v in enumerate(vectors)]
     return spark.createDataFrame([*rows, *extra], "id string, embedding array<float>, created_at timestamp").withColumn("vec", F.lit("clash")).withColumn("cell", F.lit(1))
