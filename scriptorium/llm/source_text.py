@@ -28,6 +28,7 @@ UPSTREAM_MARK = re.compile(
 NOT_UPSTREAM = re.compile(r"(?i)\b(?:replaces?|instead of|rewritten|unlike|used before|not a)\b")
 NOTICE = re.compile(r"(?i)(?:copyright \(c\) (?:\d{4}(?:[-–]\d{4})? )?(?:by )?(?:the )?([\w.-]+)|part of the ([\w.-]+) project|this file belongs to ([\w.-]+?)\.(?:\s|$))")
 COMMENT_LINE = re.compile(r"^\s*(?://+|#+|/\*+!?|\*+|--|;|<!--|\"\"\"|''')\s?(.*)$")
+DECLARATION = re.compile(r"^\s*(?:(?:export|default|pub(?:\([^)]*\))?|async|static|abstract|unsafe|inline|virtual)\s+)*(?:(?:def|class|class_name|func|fn|function|struct|enum|impl|trait|interface|type)\b|[A-Za-z_][\w:<>*&\s]*\([^;]*\)\s*(?:const\s*)?\{?\s*$)")
 IDENTIFIER = re.compile(r"[A-Za-z_$][\w$]*")
 STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
 NUMBER = re.compile(r"(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|\d[\d_]*\.?\d*(?:[eE][-+]?\d+)?)[fFuUlL]*\b")
@@ -40,10 +41,12 @@ def is_source_path(path: str | None) -> bool:
 
 
 def head_comments(text: str, lines: int = 15) -> list[str]:
-    """Comment texts among the first lines, before any code but imports and directives."""
+    """Comment texts above the first function or type, however long the header is, and among the first lines in any case."""
     out, block = [], False
-    for line in text.lstrip("﻿").split("\n")[:lines]:
+    for number, line in enumerate(text.lstrip("﻿").split("\n")):
         m = COMMENT_LINE.match(line)
+        if number >= lines and not block and not m and DECLARATION.match(line):
+            break
         if block or m and not re.match(r"\s*#(?:include|define|version|if|pragma)", line):
             out.append((m[1] if m else line).strip().removesuffix("*/").strip())
             if re.match(r"\s*/\*", line):
@@ -61,7 +64,7 @@ def comments_of(text: str) -> list[str]:
 def marked_generated(comments: list[str]) -> bool:
     """A comment says that a tool made the file; comments about generating other files don't."""
     for comment in comments:
-        if GENERATOR.search(comment) and not (ABOUT.search(comment) and not NO_EDIT.search(comment)) and len(comment) < 160:
+        if GENERATOR.search(comment) and not (ABOUT.search(comment) and not NO_EDIT.search(comment)):
             if not re.fullmatch(r"(?i)\W*auto-?generated (?:method |function )?stub\W*", comment):
                 return True
     return False

@@ -14,6 +14,16 @@ T0 = datetime.datetime(2024, 1, 1)
 # problem 3
 
 
+def test_notices_below_long_headers_and_in_long_comments():
+    code = "def scale(value):\n    return value * 3\n"
+    header = "\n".join(f"# Remark {i} about the layout of this module." for i in range(30))
+    foreign = "# This code was copied from the Zephyrine library."
+    assert "vendored" not in source_text.reasons("src/a.py", f"{header}\n{code}", "own")
+    assert "vendored" in source_text.reasons("src/a.py", f"{header}\n{foreign}\nimport os\n\n{code}", "own")
+    assert "vendored" not in source_text.reasons("src/a.py", f"{header}\n{code}\n{foreign}\n{code}", "own")
+    assert source_text.reasons("src/a.py", f"# Code generated by stubgen from {'very/' * 40}long.proto. DO NOT EDIT.\n{code}", "own") == ["generated"]
+
+
 def test_many_lists_are_all_compared():
     rng = np.random.default_rng(4)
     sample = rng.standard_normal((33_000, 8)).astype(np.float32)
