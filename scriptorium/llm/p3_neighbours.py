@@ -177,7 +177,7 @@ def copies(vectors: DataFrame, k: int = K) -> DataFrame:
     Only vectors whose hash repeats are shuffled; their number of rows per class is limited before that where a filter follows.
     """
     hashed = vectors.withColumn("vec_hash", F.xxhash64("vec"))
-    repeated = broadcast_if_small(hashed.groupBy("vec_hash").agg(F.count("*").alias("n")).where("n > 1").select("vec_hash"), row_bytes=16)
+    repeated = broadcast_if_small(hashed.groupBy("vec_hash").agg(F.count("*").alias("n")).where("n > 1").select("vec_hash"))
     place = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
     several = hashed.join(repeated, "vec_hash", "left_semi").drop("vec_hash").withColumn("copy", place)
     return hashed.join(repeated, "vec_hash", "left_anti").drop("vec_hash").withColumn("copy", F.lit(1)).unionByName(several)

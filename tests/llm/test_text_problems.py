@@ -1,7 +1,6 @@
 """Pages, budgets, encoding, leaks and abuse on small fixtures, with dirty rows."""
 
 import datetime
-import pickle
 from difflib import SequenceMatcher
 from pathlib import Path
 
@@ -173,8 +172,8 @@ def test_leaks_against_brute_force(spark):
     for d, k in got:
         a, b = p7_leaks.words_of(items[k]), p7_leaks.words_of(docs[d][2])
         assert sum(m.size for m in SequenceMatcher(None, a, b, False).get_matching_blocks()) >= len(a) / 3
-    blocks = {(r["doc_id"], r["item_id"]) for r in p7_leaks.found(documents(spark, *docs), table, block=5).collect()}
-    assert blocks == truth
+    spread = {(r["doc_id"], r["item_id"]) for r in p7_leaks.found(documents(spark, *docs).repartition(7), table.repartition(5, "text")).collect()}
+    assert spread == truth
 
 
 def test_leaks_edited_densely_or_in_short_pieces(spark):
@@ -211,12 +210,41 @@ def test_leaks_dirty_rows(spark):
     assert report["a"] == (2, 2) and report["b"][0] == 0
 
 
-def test_shared_runs_are_no_evidence_in_the_workers():
-    phrase = "explain why the lamp could not be used"
-    items = {k: f"{phrase} {text}".split() for k, text in made_items(2).items()}
-    index = p7_leaks.ItemIndex(items)
-    for index in (index, pickle.loads(pickle.dumps(index))):
-        assert p7_leaks.words_carried(index, 0, phrase.split(), [0]) == 0
+def test_phrases_of_several_items_are_no_evidence(spark):
+    """Phrases within sentences that several items share count neither for their carriers nor for decoys, also edited ones."""
+    phrase = "explain why the lamp of the old harbour could not be used before the bell rang for the second time that night in"
+    texts = {k: f"{phrase} {words}" for k, words in made_items(6).items()}
+    items = spark.createDataFrame([(k, "s", t) for k, t in texts.items()], "item_id long, suite string, text string")
+    docs = documents(spark, (1, None, phrase * 3), (2, None, phrase.replace("lamp", "stone") + " name1x other"), (3, None, texts[4]))
+    assert {(r["doc_id"], r["item_id"]) for r in p7_leaks.found(docs, items).collect()} == {(3, 4)}
+
+
+def test_long_options_long_tags_and_equal_items(spark):
+    """Options and tags of any length are no words of an item; items with the same text are all reported."""
+    one, two, three = made_items(3).values()
+    option = " ".join(f"choice{i}" for i in range(40))
+    link = f'<a href="https://example.org/{"x" * 200}">'
+    items = spark.createDataFrame(
+        [(1, "s", f"{one}\nA) {option}\nB) {option} again\n"), (2, "s", two), (3, "s", two.upper()), (4, "s", f"{link}{three}</a>"), (5, "s", f"1. {option} alone")], "item_id long, suite string, text string"
+    )
+    docs = documents(spark, (1, None, f"A) {option}"), (2, None, f"see {two}!"), (3, None, " ".join(w if i % 6 else f"{w} {link}" for i, w in enumerate(three.split()))), (4, None, f"x {one} y"))
+    assert {(r["doc_id"], r["item_id"]) for r in p7_leaks.found(docs, items).collect()} == {(1, 5), (2, 2), (2, 3), (3, 4), (4, 1)}
+
+
+def test_repetitions_reach_their_target():
+    """Windows with the allowed edits meet in one of the repetitions about as often as asked for."""
+    rng = np.random.default_rng(99)
+    for width in (5, 8, 12):
+        values = np.concatenate([[0], rng.integers(1, 1 << 32, 3000)]).astype(np.uint64)
+        plain = rng.integers(1, 3000, (2000, width))
+        edited = plain.copy()
+        for row in edited:
+            row[rng.permutation(width)[: p7_leaks.edits_of(width)]] = 0
+        met = np.zeros(2000, bool)
+        for repeat in range(p7_leaks.repetitions(width)):
+            walk = p7_leaks.Walk(width, repeat)
+            met |= walk.keys(plain, values) == walk.keys(edited, values)
+        assert met.mean() > p7_leaks.TARGET - 0.1
 
 
 # problem 8
