@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -54,27 +55,42 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, so later stages neither recompute nor lose it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and written as a table in the shared checkpoint folder, so later stages neither recompute nor lose it.
+
+    The table goes when the application ends.
+    """
+    spark = df.sparkSession
+    target = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(target)
+    return spark.read.schema(df.schema).parquet(target)
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of the values of all rows: the length of texts and binaries, 16 for any other column, and 32 for the row."""
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    row = sum(wide, F.lit(32 + 16 * len(df.schema)))
+    return df.agg(F.sum(row.cast("long")).alias("n")).first()["n"] or 0
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int = 128, most: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` computed once and marked for broadcasting if its counted rows stay under the bound, else as it is for a shuffled join.
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (flat columns) computed once and marked for broadcasting if its measured bytes stay under the bound, else as it is for a
+    shuffled join.
 
-    Adaptive execution finds a small side only after the large side's shuffle was started; counting first spares that shuffle.
+    Adaptive execution finds a small side only after the large side's shuffle was started; measuring first spares that shuffle.
     """
     kept = checkpointed(df)
-    return F.broadcast(kept) if kept.count() * row_bytes <= most else kept
+    return F.broadcast(kept) if measured_bytes(kept) <= most else kept
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
