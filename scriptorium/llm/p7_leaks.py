@@ -336,14 +336,32 @@ class Reader:
         return np.fromiter((get(w) for words in texts for w in words), np.int32), np.array(self.codes, np.uint64)
 
 
-def window_hits(texts: list[list[str]], reader: Reader, bloom: tuple[int, np.ndarray], repeats: dict[int, int]) -> Iterator[tuple[int, int, int, str]]:
-    """Text number, word position, key and words (one character for each) of the windows whose key may be an item's, in every repetition."""
+def run_codes(columns: Iterator[np.ndarray]) -> np.ndarray:
+    """64-bit code of runs of words given word by word."""
+    out = np.uint64(0)
+    for column in columns:
+        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def window_hits(texts: list[list[str]], reader: Reader, bloom: tuple[int, np.ndarray], runs: tuple[int, np.ndarray], repeats: dict[int, int]) -> Iterator[tuple[int, int, int, str]]:
+    """Text number, word position, key and words (one character for each) of the windows whose key may be an item's, in every repetition.
+
+    Windows that the verification would refuse whatever they meet are left out before: those with too many words that no item has, and
+    those without a run that one item alone has.
+    """
     codes, values = reader(texts)
     lengths = np.array([len(words) for words in texts])
     begins = np.cumsum(lengths) - lengths
     text = np.repeat(np.arange(len(texts)), lengths)
     seen = np.concatenate([[0], np.cumsum(codes != 0)])
     letters = written(values[codes])
+    n_runs = max(0, len(codes) - RUN + 1)
+    own = np.zeros(len(codes) + 1, np.int64)
+    if n_runs:
+        own[1 : n_runs + 1] = in_filter(run_codes(values[codes[k : n_runs + k]] for k in range(RUN)), runs)
+    own = np.cumsum(own)
     ends = begins + lengths
     used, codes = np.unique(codes, return_inverse=True)
     values = values[used] if len(used) else values
@@ -353,7 +371,9 @@ def window_hits(texts: list[list[str]], reader: Reader, bloom: tuple[int, np.nda
         last = len(codes) - width + 1
         if last < 1:
             continue
-        starts = np.flatnonzero((text[:last] == text[width - 1 :]) & (seen[width:] - seen[:last] >= width - edits_of(width)))
+        near = (text[:last] == text[width - 1 :]) & (seen[width:] - seen[:last] >= width - edits_of(width))
+        reach = np.minimum(np.arange(last) + width + edits_of(width) - RUN + 1, len(codes))
+        starts = np.flatnonzero(near & (own[reach] > own[:last]))
         windows = codes[starts[:, None] + np.arange(width)]
         for repeat in range(repeats[width]):
             keys = Walk(width, repeat).keys(windows, values)
@@ -378,17 +398,27 @@ def leak_matches(documents: DataFrame, items: DataFrame, key: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([pa.array([word_code(w) for w in batch.column(0).to_pylist()], pa.int64())], names=["code"])
 
     known = bloom_filter(classes.select(F.explode("words").alias("word")).distinct().mapInArrow(codes, "code long"), probes=1)
-    shared = spark.sparkContext.broadcast((known, bloom_filter(keys.select("key").distinct())))
+
+    def own_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = []
+            for words, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                values = np.array([word_code(w) for w in words], np.uint64)
+                codes.append(run_codes(values[k : len(words) - RUN + 1 + k] for k in range(RUN))[np.array(own, bool)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes or [np.empty(0, np.uint64)]).view(np.int64))], names=["code"])
+
+    runs = bloom_filter(classes.select("words", "own").mapInArrow(own_runs, "code long"))
+    shared = spark.sparkContext.broadcast((known, bloom_filter(keys.select("key").distinct()), runs))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bloom = shared.value
+        known, bloom, runs = shared.value
         reader = Reader(known)
         for whole in batches:
             for begin in range(0, whole.num_rows, 200):
                 batch = whole.slice(begin, 200)
                 hits: dict[int, list[dict]] = defaultdict(list)
                 texts = [words_of(value) for value in batch.column(1).to_pylist()]
-                for row, spot, name, window in window_hits(texts, reader, bloom, repeats):
+                for row, spot, name, window in window_hits(texts, reader, bloom, runs, repeats):
                     hits[row].append({"key": name, "spot": spot, "met": window})
                 rows = pa.array(sorted(hits), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([hits[r] for r in sorted(hits)], spot_type)], names=["doc_key", "doc_text", "hits"])

@@ -284,7 +284,17 @@ def test_weights_are_learned_from_document_labels(spark):
             votes += [(i, "r1", None, int(bad), T0), (i, "r2", None, int(bad) if i % 9 else None, T0), (i, "r1", None, int(bad), T0)]
     docs = documents(spark, *rows)
     labels = spark.createDataFrame(votes, "doc_id long, rater string, quality int, toxic int, labelled_at timestamp")
-    model = p8_abuse.train(docs, labels, pull=0.02)
+    model = p8_abuse.train(docs, labels)
     scores = {r["doc_id"]: r["score"] for r in p8_abuse.score_documents(docs.where("doc_id >= 280"), model).collect()}
     assert np.mean([(s >= 0.5) == (i % 10 == 0) for i, s in scores.items()]) > 0.95
     assert all("zarnak" in r["sentence"] for r in p8_abuse.offending_sentences(docs.where("doc_id >= 280"), model).collect())
+    report = {r["model"]: r for r in p8_abuse.heldout_report(docs, labels).collect()}
+    assert report["prior"]["recall"] == 0 and report["trained"]["recall"] == report["trained"]["precision"] == 1
+
+
+def test_training_is_bounded_in_rows_and_bytes(spark):
+    docs = documents(spark, *[(i, None, f"word{i} " * 50) for i in range(60)])
+    labels = spark.createDataFrame([(i, "r", None, i % 2, T0) for i in range(60)], "doc_id long, rater string, quality int, toxic int, labelled_at timestamp")
+    assert p8_abuse.labelled_features(docs, labels).num_rows == 60
+    assert p8_abuse.labelled_features(docs, labels, max_labelled=20).num_rows == 20
+    assert 4 <= p8_abuse.labelled_features(docs, labels, max_bytes=4000).num_rows <= 10
