@@ -417,6 +417,369 @@ PAGES = [
 - Support
 - Changelog
 - Docs
+""",
+    """
+- [Wiki](/a)  [Recipes](/b)  [Shop](/c)  [Members](/d)
+-
+- Find an article…
+- Day mode / Night mode
+- Language: Dansk
+- Wiki / Recipes / Pickling a cucumber
++ # Pickling a cucumber
++ Choose cucumbers of one size, so that all of them are ready on the same day.
++ **Note:** Salt water burns.
++ - salt
++ - dill
++ - vinegar
++ ## The brine
++ Boil the water, then let it cool before the salt goes in.
++ **Warning:** Never close a warm jar.
++ Search the shelf for a jar without scratches.
++ 12 g of salt per litre, 3 cloves per jar.
+-
+- You might also enjoy
+- Drying an apple
+- From cabbage to kraut
+- Jars and lids
+- Rate this article: 1 2 3 4 5
+- Improve this article
+- Pickle House is a registered trademark of Pickle House Ltd.
+- © 2018 Pickle House authors. Some rights reserved.
+- Running on Pickle House engine 4.2
+- Written by the Pickle House volunteers
+""",
+    """
+- Jump to main content
+- We and our partners store cookies so that the page loads faster.
+- Agree | Decline | More options
+- Your choice matters to us: we keep small files to count visits.
+- Trails
+- Huts
+- Maps
+- You are viewing the guide for 2019. Switch to another edition
+- Trails » North » Crossing the glacier
++ # Crossing the glacier
+- In this guide
+- The rope
+- - The crevasse
++ ## The rope
++ Three people share one rope, with eight metres between them.
++ Follow the leader by sight, and never step over a slack rope.
++ - rope
++ - axe
++ - crampon
++ Previous: hut. Next: summit.
++ ## The crevasse
++ Fall on your axe at once and shout.
++ **Tip:** Practise on snow first.
++ | gear | weight |
++ | --- | --- |
++ | rope | 3 kg |
++ Subscribe the whole group at the hut before you leave, since the warden counts heads.
++ Copyright stones mark the border of the old property.
+-
+- ← Previous page: Packing a rucksack
+- Next page: The summit →
+- Join the Alpine letter and read 2 stories a week.
+- 34 hikers found this helpful
+- Changed on May 7, 2017 by warden
+- Share this: Mail, Link, Print
+- Back to the top
+""",
+    """
+- Startseite
+- Kurse
+- Preise
+- Suchen…
+- Diese Seite legt kleine Dateien auf Ihrem Gerät ab.
+- Alle annehmen | Ablehnen
+- Kurse › Holz › Eine Schublade bauen
++ # Eine Schublade bauen
+- Inhalt
+- Die Zinken
+- Der Boden
++ Das Holz soll ein Jahr gelagert sein, damit sich später nichts verzieht.
++ ## Die Zinken
++ Zuerst wird die Lehre angelegt und mit zwei Zwingen gehalten.
++ **Hinweis:** Späne fliegen weit.
++ - Leim
++ - Zwinge
++ ## Der Boden
++ Der Boden bleibt lose, weil er mit dem Wetter wächst.
++ ```
++ breite = 400
++ ```
++ Seite eins zeigt nach vorn.
+-
+- Auch interessant
+- Ein Regal aufhängen
+- Hobel schärfen
+- War das nützlich? Ja Nein
+- Seite verbessern
+- Geändert am 3. Mai 2016
+- Hobelbank ist eine Marke ihres Inhabers.
+- © 2016 Hobelbank. Alle Rechte vorbehalten.
+- Impressum | Datenschutz
+""",
+    """
+- Accueil
+- Cours
+- Rechercher…
+- Ce site dépose de petits fichiers pour mesurer les visites.
+- Tout accepter | Refuser
+- Cours › Jardin › Tailler un rosier
++ # Tailler un rosier
+- Sur cette page
+- Le sécateur
+- Après la taille
++ Le rosier se taille à la fin de l'hiver, quand le gel est passé.
++ ## Le sécateur
++ Une lame propre coupe sans écraser la tige.
++ - gant
++ - lame
++ **Remarque :** ne coupez jamais sous le bourgeon.
++ ## Après la taille
++ Les branches coupées partent au compost, sauf celles qui sont malades.
+-
+- Vous aimerez aussi
+- Planter un lilas
+- Le sol et la pluie
+- Avis utile ? Oui Non
+- Corriger cette page
+- Modifié le 4/5/2015
+- Rosier Net est une marque de son propriétaire.
+- © 2015 Rosier Net. Tous droits réservés.
+- Mentions légales · Confidentialité
+- Précédent : Le semis   Suivant : La greffe
+""",
+    """
+- 首页
+- 课程
+- 搜索…
+- 本站会保存小文件以统计访问量。
+- 全部接受 | 拒绝
+- 课程 › 烹饪 › 包饺子
++ # 包饺子
+- 本页内容
+- 和面
+- 调馅
++ 面粉和水的比例大约是二比一，揉好之后要放半个小时。
++ ## 和面
++ - 面粉
++ - 水
++ 揉面的时候手上要沾一点干粉。
++ ## 调馅
++ **注意：** 馅料不要太湿。
++ 白菜要先用盐腌一下，再把水挤掉。
+-
+- 您可能还喜欢
+- 蒸包子
+- 面条的做法
+- 本页有用吗？ 有 没有
+- 编辑本页
+- 最后修改于 2014年3月2日
+- © 2014 厨房网 保留所有权利。
+- 由厨房网工具生成
+- 上一页：蒸包子
+- 下一页：煮面条
+""",
+    """
+- Inicio
+- Cursos
+- Buscar…
+- Este sitio guarda pequeños archivos para contar visitas.
+- Aceptar todo | Rechazar
+- Cursos › Mar › Remendar una red
++ # Remendar una red
+- Contenido
+- La aguja
+- El nudo
++ La red se cuelga en la sombra, porque el sol gasta el hilo.
++ ## La aguja
++ La aguja lleva hilo para veinte nudos como mucho.
++ - hilo
++ - aguja
++ **Nota:** el hilo mojado se encoge.
++ ## El nudo
++ Cada nudo se aprieta dos veces antes de seguir con el siguiente.
+-
+- Artículos parecidos
+- Pintar una barca
+- El ancla y el cabo
+- ¿Fue útil esta página? Sí No
+- Corregir esta página
+- Cambiado el 5/6/2013
+- Red Viva es una marca de su dueño.
+- © 2013 Red Viva. Todos los derechos reservados.
+- Aviso legal · Privacidad
+- Siguiente →
+""",
+    """
+- [Start](/1)  [Charts](/2)  [Harbours](/3)  [Weather](/4)
+- Search harbours…
+- This site keeps small files on your device so that your route is saved.
+- OK, understood
+- Harbours > West > Mooring a boat
+- Splicing a rope
+- The tide and the keel
+- From anchor to buoy
++ # Mooring a boat
++ The stern line goes first when the wind blows off the quay.
++ - bow
++ - stern
++ - Search the bilge for water before you leave the boat.
++ ## Lines
++ **Tip:** Wet lines hold better.
++ Edit the log before midnight, because the harbour office closes the day then.
++ ## Fenders
++ 4 fenders, 2 lines, 1 spring
++ 0x1F 22.5 17,3
++ Harbour | Lock | Bridge | Quay
++ Advertisement boards on the quay are lit at night, so don't take them for lights.
++ Contents of the locker:
++ - flare
++ - horn
+- Sponsored
+- Get Harbour Guide Plus free for 30 days
+-
+- More from Harbours
+- Splicing a rope
+- Reading a chart
+- From anchor to buoy
+- Was this guide useful? Yes No
+- Report an error on this page
+- Updated on 2012-03-04 by pilot
+- Harbour Guide is a trademark of its publisher.
+- © 2012 Harbour Guide contributors. All rights reserved.
+- Harbour Guide status: everything works
+- Contact us | Terms | Privacy
+- Follow Harbour Guide on social media
+- Print this page
+""",
+    """
+- Skip navigation
+- Buy | Learn | Repair | Login
+- Search the manual…
+- Version 5.1 ▾
+- Dark theme
+- Webinar in 3 days: book your place
+- Learn / Brakes / Setting a brake
++ # Setting a brake
++ ## Pads
++ The pad must meet the rim along its whole length, and let go without a sound.
++ ```
++ gap = 2
++ ```
++ - pad
++ - rim
++ - cable
++ - screw
++ Turn the screw by a quarter only.
++ **Warning:** This part is sharp.
++ ## Cable
++ The cable stretches during the first week.
++ Next: the lever.
++ Home position is fully released.
++ Version two has longer pads.
++ Privacy caps keep water out of the housing.
++ Share the load between both brakes.
++ Print the page with the table, then mark each value.
+- Up next – Cable care
+- Reading time: 4 min
+- Recommended for you
+- Truing a wheel
+- Chains in winter
+- Was it helpful? Yes No
+- Suggest an edit
+- All product names belong to their owners.
+- © 2011 Bike Shed. All rights reserved.
+- Made with Bike Shed pages 5.1
+- Made by the Bike Shed crew
+- Status: all services up
+- ★ Star us
+- Terms · Privacy · Cookies
+""",
+    """
+- Kits
+- Parts
+- Find a part…
+- Kits > Radios > Tuning a coil
++ # Tuning a coil
++ The coil is tuned with the lid off, and checked again with the lid on.
++ 3.5 mm, 4.0 mm, 4.5 mm
++ Ω ≈ 4.7 kΩ ± 5 %
++ ## The core
++ Enter | Tab | Space
++ Turn the core slowly until the tone is lowest.
++ coil_7 core_9 value $12 @bench
++ η λυχνία και το πηνίο
++ ### The lid
++ A lid of tin shields better than one of plastic.
++ Subscribe each receiver to one channel only.
++ **Tip:** Mark the core with paint.
+-
+- Subscribe to the Coil Club bulletin and get 1 circuit a week.
+- Was this page useful? Yes No
+- © 2010 Coil Club makers. All rights reserved.
+""",
+    """
+- Museum
+- Tickets
+- Search the collection…
+- Museum / Clocks / Winding a clock
++ # Winding a clock
++ Wind the clock on the same evening every week.
++ - key
++ - spring
++ - **Warning:** The spring is strong.
++ ## Parts of the train
++ | wheel | teeth |
++ | --- | --- |
++ | great | 96 |
++ | third | 60 |
++ ## Oil
++ One drop per pivot is enough for two years.
++ **Note:** Old oil is brown.
+""",
+    """
+- Werkstatt
+- Ratgeber
+- Katalog durchsuchen…
+- Ratgeber › Fahrrad › Eine Kette wechseln
++ # Eine Kette wechseln
++ Die alte Kette wird mit dem Nieter geöffnet.
++ - Nieter
++ - Zange
++ ## Länge messen
++ 112 Glieder, 9 mm
++ Die neue Kette wird neben der alten ausgelegt und auf die gleiche Länge gekürzt.
++ **Hinweis:** Altes Fett schadet.
+- ← Zurück: Bremsen einstellen
+- Weiter: Licht anbauen →
+- Den Rundbrief der Werkstatt bestellen
+- © 2009 Werkstatt. Alle Rechte vorbehalten.
+""",
+    """
+- Skip to text
+- Songs | Chords | Tuners | Sign in
+- Songs / Lute / Tuning a lute
++ # Tuning a lute
++ Tune the lowest course first.
++ ## Courses
++ G, D, A, F, C, G
++ The top course is single, so it breaks first.
++ **Warning:** Do not tune above pitch.
++ ### Pegs
++ Pegs stick when the air is dry.
++ - peg
++ - nut
++ - bridge
+-
+- Other songs
+- Stringing a lute
+- From fret to peg
+- Print · Mail · Link
+- Contact | Imprint
 """,
 ]
 

@@ -1,65 +1,34 @@
-"""Flat text blocks of a page and their features: words, link density, shape, and the same of the neighbouring blocks."""
+"""Flat text blocks of a page and their features: words, link density, shape, and the same of the neighbouring blocks.
+
+Crawled text is flat: most links have lost their marks. The link density of a block is the share of its words inside links where
+links are left, else the probability that its words stand in links of a site, learned word by word from the labelled pages.
+"""
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from collections.abc import Iterable, Sequence
 
-# Words of site navigation, and whole-line wordings of site furniture, by language.
-NAVIGATION = set(
-    """home|blog|guides|community|login|log in|sign in|sign up|docs|documentation|api|api reference|reference|about|about us|forum|forums|support|showcase|download|downloads|changelog|tutorials|pricing|news|contact|careers|help|account|register|status|privacy|terms|imprint|
-    guías|precios|documentación|descargas|ayuda|acceder|inicio|noticias|referencia|foro|tutoriales|comunidad|contacto|acerca de|
-    aide|référence|actualités|accueil|connexion|téléchargement|téléchargements|tarifs|guides|communauté|tutoriels|à propos|contact|
-    herunterladen|anmelden|hilfe|neuigkeiten|preise|startseite|über|uns|über uns|anleitungen|handbuch|referenz|dokumentation|gemeinschaft|kontakt|
-    文档|首页|下载|参考|教程|登录|帮助|价格|论坛|博客|社区|关于|关于我们|支持|新闻|指南""".replace("\n    ", "").split("|")
-)
-TOC_LABEL = re.compile(r"(?i)^(?:on this page|contents|jump to|table of contents|in this article|en esta página|contenido|sur cette page|sommaire|dans cette page|auf dieser seite|inhalt|inhaltsverzeichnis|本页内容|目录|本页目录)\s*:?$")
-MORE_LABEL = re.compile(
-    r"(?i)^(?:you may also like|related (?:articles|posts|pages)|see also|popular in .{1,40}|more (?:from|in) .{1,40}|recommended(?: for you)?|también le puede interesar|artículos relacionados|à lire aussi|articles (?:liés|similaires)|das könnte sie (?:auch )?interessieren|ähnliche (?:beiträge|artikel)|猜你喜欢|相关文章|推荐阅读)\s*:?$"
-)
-PAGER = re.compile(
-    r"(?i)^(?:(?:←|«|‹)\s*\S.*|.*\S\s*(?:→|»|›)|(?:previous|prev|next|up next|anterior|siguiente|précédent|suivant|zurück|weiter|上一页|下一页|上一篇|下一篇)(?:\s*[–—:-]\s*[^.!?。]*)?|(?:previous|anterior|précédent|zurück|上一页|上一篇)\s{2,}.*)$"
-)
-PHRASES = re.compile(
-    r"""(?ix)^\W*(?:
-      skip\ to\ (?:main\ )?(?:content|navigation)|saltar\ al\ contenido|aller\ au\ contenu|zum\ inhalt\ springen|跳到主要内容|跳转到内容
-    | (?:search(?:\ the\ (?:docs|site|documentation))?|buscar|rechercher|suchen?|搜索)\s*(?:…|\.{3})
-    | toggle\ (?:dark|light)\ mode|(?:dark|light)\ mode|language:\s*\S+|sprache:\s*\S+|idioma:\s*\S+|langue\s*:\s*\S+|语言[:：]\s*\S+
-    | sign\ in\W+create\ (?:an\ )?account|(?:versi[oó]n|version|版本):?\s+\S+\s*▾
-    | you\ are\ (?:reading|viewing)\ the\ documentation\ (?:for|of)\ .*
-    | (?:we\ use|usamos|utilizamos|nous\ utilisons(?:\ des)?|wir\ verwenden|我们使用)\s*cookies?\b.*|我们使用\s*cookie.*
-    | (?:this\ site\ stores\ small\ files|este\ sitio\ guarda\ archivos|ce\ site\ enregistre\ des\ traceurs|diese\ seite\ speichert\ kleine\ dateien|本站会在您的设备上保存小文件).*
-    | your\ privacy\ matters\ to\ us.*|.{1,40}\ and\ its\ partners\ (?:rely\ on|use)\ cookies.*|by\ continuing\ you\ agree\b.*
-    | (?:ok,\ got\ it|got\ it|manage\ preferences|cookie\ settings|accept\ all(?:\ cookies)?(?:\s*[|·/]\s*\S.*)?|configurar\ preferencias|aceptar\ todo(?:\s*[|·]\s*\S.*)?|gérer\ mes\ choix|tout\ accepter(?:\s*[|·]\s*\S.*)?|mehr\ in\ der\ datenschutzerklärung|alle\ akzeptieren(?:\s*[|·]\s*\S.*)?|管理偏好|全部接受.*|接受全部.*)\.?
-    | subscribe\ to\ the\ .{1,40}\ newsletter\b.*|suscríbase\ al\ boletín.*|abonnez-vous\ à\ la\ lettre.*|jetzt\ den\ .{1,40}newsletter\ abonnieren|订阅.{1,30}通讯
-    | advertisement|sponsored|publicidad|publicité|anzeige|广告
-    | get\ .{1,40}\ (?:cloud|pro|plus)\ free\ for\ .*|.{0,30}start\ your\ (?:free\ )?trial|pruebe\ gratis\ .*|essai\ gratuit\ .*|\d+\ tage\ kostenlos\ testen|免费试用.*|webinar\ in\ \d+\ days.*|.{0,40}save\ your\ seat
-    | ★?\s*star\ us\ and\ follow\ .*
-    | (?:share|teilen|compartir|partager|分享)\s*[:：]\s*\S+(?:\s*[·|,/]\s*\S+)+
-    | (?:was\ this\ page\ helpful\?|¿le\ resultó\ útil\ esta\ página\?|cette\ page\ vous\ a-t-elle\ aidé\s*\?|war\ diese\ seite\ hilfreich\?|本页有帮助吗？).*|\d+\ people\ found\ this\ (?:useful|helpful)
-    | edit\ this\ page(?:\ on\ \S+)?|editar\ esta\ página|modifier\ cette\ page|seite\ bearbeiten|编辑此页|report\ a\ problem\ with\ this\ page
-    | last\ updated\ .{4,40}|actualizado\ el\ \S+|mis\ à\ jour\ le\ \S+|zuletzt\ geändert\ am\ \S+|最后更新于.*
-    | reading\ time:\s*\d+\ min\w*|back\ to\ top\s*↑?|nach\ oben\s*↑?|volver\ arriba\s*↑?|haut\ de\ page\s*↑?|返回顶部\s*↑?
-    | ©.*|.{1,40}\ is\ a\ trademark\ of\ its\ owner\.?|.{0,60}all\ rights\ reserved\.?
-    | built\ with\ .{1,60}|made\ by\ the\ .{1,40}\ team|erstellt\ mit\ .{1,40}|creado\ con\ .{1,40}|réalisé\ avec\ .{1,40}|由.{1,30}(?:构建|生成)
-    | status:\ all\ systems\ .*|follow\ us\ on\ .{1,40}
-    | terms\ of\ use\W+privacy.*|aviso\ legal\W+privacidad.*|mentions\ légales\W+confidentialité.*|impressum\W+datenschutz.*|使用条款\W+隐私.*
-    )\W*$"""
-)
-CALLOUT = re.compile(r"^\*\*[^*]{2,20}\*\*")
-SPLIT = re.compile(r"\s*[|·/›>»•]\s*|\s{2,}")
 LINK = re.compile(r"\[([^\]\n]*)\]\([^)\s]*\)")
+SPLIT = re.compile(r"\s*[|·/›>»•]\s*|\s{2,}")
+ARROW = re.compile(r"^[←«‹]|[→»›↑▾]$")
 WORD = re.compile(r"[^\W_]+")
-HAN = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
+HAN = re.compile(r"[぀-ヿ㐀-鿿]")
 HEADING = re.compile(r"^#{1,6}\s+(.*)$")
 LIST = re.compile(r"^(?:[-*+•]|\d+[.)])\s+(.*)$")
 SENTENCE = re.compile(r"[.!?:;。！？：；…)”\"»]\s*$")
-STRIP = "\ufeff\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u200b\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+STRIP = "﻿\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 ​               　"
 
 #: Order of the features.
 FEATURES = (
-    "before_title", "words", "link_density", "sentence", "phrase", "label", "list", "table", "code", "heading", "callout",
-    "prev_words", "prev_link_density", "next_words", "next_link_density", "prose_after",
+    "words", "density", "sentence", "list", "marked", "repeats", "arrow", "parts", "run",
+    "before_title", "prose_after", "prev_words", "prev_density", "next_words", "next_density",
 )
+#: Words of a line of a run, the most blocks of prose counted after a block, and the least log-odds of a word (plain words stand in
+#: either kind of line, so no word speaks strongly for the article).
+SHORT, FAR, FLOOR = 12, 20, -0.5
 
 
 def count_words(text: str) -> int:
@@ -68,66 +37,89 @@ def count_words(text: str) -> int:
     return len(WORD.findall(HAN.sub(" ", text) if han else text)) + (han + 1) // 2
 
 
-def link_density(text: str) -> float:
-    """Share of a block's words that are anchor text: words inside links, or short parts between separators that name areas of a site."""
-    links = LINK.findall(text)
-    if links:
-        return sum(map(count_words, links)) / max(1, count_words(LINK.sub(r"\1", text)))
-    parts = [p.strip().lower() for p in SPLIT.split(text) if p.strip()]
-    if not parts or SENTENCE.search(text) or any(count_words(p) > 6 for p in parts):
-        return 0.0
-    named = sum(p in NAVIGATION for p in parts)
-    # a first part that names nothing is the site's own name
-    return 1.0 if named and named >= len(parts) - 1 else named / len(parts) / 2
+def anchor_words(text: str) -> set[str]:
+    """Words of a block, and pairs of characters of scripts without spaces."""
+    lower = text.lower()
+    if not HAN.search(lower):
+        return set(WORD.findall(lower))
+    return set(WORD.findall(HAN.sub(" ", lower))) | {lower[i : i + 2] for i in range(len(lower) - 1) if HAN.match(lower[i]) and HAN.match(lower[i + 1])}
 
 
-def page_features(text: str) -> tuple[list[int], list[tuple[float, ...]]]:
-    """Line numbers and features of the non-blank lines of a page."""
-    numbers, lines = [], []
+def blocks(text: str) -> list[dict]:
+    """The non-blank lines of a page: number, body, shape and words; headings, tables, code and callouts are ``marked``."""
+    out, last, fence = [], -1, False
     for number, raw in enumerate(text.split("\n")):
         line = raw.strip(STRIP)
-        if line:
-            numbers.append(number)
-            lines.append(line)
-    headings = {m[1].strip().lower() for line in lines if (m := HEADING.match(line))}
-    title_at = next((i for i, line in enumerate(lines) if HEADING.match(line)), 0)
-    basic, fence, label_run = [], False, False
-    for i, line in enumerate(lines):
+        if not line:
+            continue
         marks = line.startswith(("```", "~~~"))
         code = fence or marks
-        if marks:
-            fence = not fence
+        fence ^= marks
         item = LIST.match(line)
         body = item[1] if item else line
-        heading = not code and bool(HEADING.match(line))
+        heading = None if code else HEADING.match(line)
         table = not code and line.startswith("|")
-        words = count_words(body)
-        plain = not (code or table or heading)
-        phrase = plain and bool(PHRASES.match(body))
-        label = plain and not item and bool(TOC_LABEL.match(body) or MORE_LABEL.match(body))
-        pager = plain and not item and bool(PAGER.match(body))
-        # a run of short lines right under the label of a list of pages; a table of contents holds the page's own headings only
-        adjacent = i > 0 and numbers[i] - numbers[i - 1] == 1
-        label_run = plain and not label and not phrase and not pager and adjacent and (label_run or bool(MORE_LABEL.match(lines[i - 1]))) and words <= 12 and not (SENTENCE.search(body) and not item)
-        # In flat text the links are gone: lines that repeat a heading of the page, stand under a list's label or page on are anchors.
-        anchor = plain and (label_run or pager or body.strip().lower() in headings)
-        density = 1.0 if anchor else link_density(body) if plain else 0.0
-        basic.append({
-            "before_title": i < title_at, "words": words, "link_density": density, "sentence": bool(SENTENCE.search(body)), "phrase": phrase, "label": label,
-            "list": bool(item), "table": table, "code": code, "heading": heading, "callout": bool(CALLOUT.match(body)),
+        callout = not code and body.startswith("**")
+        out.append({
+            "number": number, "body": body, "list": bool(item), "code": code, "heading": bool(heading), "title": heading[1].strip().lower() if heading else None,
+            "marked": bool(code or heading or table or callout), "words": count_words(body), "sentence": bool(SENTENCE.search(body)), "apart": number - last > 1,
         })
-    prose_after, rest = [0] * len(lines), 0
-    for i in range(len(lines) - 1, -1, -1):
-        prose_after[i] = rest
-        b = basic[i]
-        rest += b["heading"] or b["table"] or b["code"] or b["words"] >= 8 and b["sentence"] and not b["phrase"]
+        last = number
+    return out
+
+
+def learn_anchors(pages: Iterable[tuple[str, Sequence[int]]]) -> dict[str, float]:
+    """Log-odds of each word to stand in a line of the site rather than in one of the article, from labelled pages."""
+    seen: Counter = Counter()
+    total = [0, 0]
+    for text, labels in pages:
+        for block, label in zip(blocks(text), labels, strict=True):
+            if not block["marked"]:
+                total[label] += 1
+                seen.update((word, label) for word in anchor_words(block["body"]))
+    share = lambda word, label: (seen[word, label] + 0.5) / (total[label] + 1)
+    return {word: max(FLOOR, math.log(share(word, 1) / share(word, 0))) for word in {word for word, _ in seen}}
+
+
+def link_density(body: str, anchors: dict[str, float]) -> float:
+    """Share of the words inside links where links are left, else the probability that the words stand in links."""
+    links = LINK.findall(body)
+    if links:
+        inside = sum(map(count_words, links)) / max(1, count_words(LINK.sub(r"\1", body)))
+        if inside > 0.5:
+            return inside
+    odds = sum(anchors.get(word, 0.0) for word in anchor_words(body))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+
+
+def page_features(text: str, anchors: dict[str, float]) -> tuple[list[int], list[tuple[float, ...]]]:
+    """Line numbers and features of the non-blank lines of a page."""
+    found = blocks(text)
+    titles = {b["title"] for b in found if b["title"]}
+    title_at = next((i for i, b in enumerate(found) if b["heading"]), 0)
+    for i, b in enumerate(found):
+        b["density"] = link_density(b["body"], anchors) if not b["marked"] else 0.0
+        b["repeats"] = not b["marked"] and b["body"].strip().lower() in titles
+        b["arrow"] = bool(ARROW.search(b["body"]))
+        b["parts"] = sum(bool(p.strip()) for p in SPLIT.split(b["body"]))
+        b["before_title"] = i < title_at
+        b["short"] = not b["marked"] and not b["sentence"] and not b["list"] and b["words"] <= SHORT
+    # runs of short lines without a blank line between them
+    i = 0
+    while i < len(found):
+        j = i + 1
+        while j < len(found) and not found[j]["apart"] and found[j]["short"] == found[i]["short"]:
+            j += 1
+        for b in found[i:j]:
+            b["run"] = j - i if b["short"] else 0
+        i = j
+    after = 0
+    for b in reversed(found):
+        b["prose_after"] = min(after, FAR)
+        after += b["marked"] or b["words"] >= 8 and b["sentence"] and b["density"] < 0.5
     out = []
-    for i, b in enumerate(basic):
-        row = [float(b[name]) for name in FEATURES[:11]]
-        for j in (i - 1, i + 1):
-            if 0 <= j < len(basic):
-                row += [float(basic[j]["words"]), basic[j]["link_density"]]
-            else:
-                row += [0.0, 0.0]
-        out.append((*row, float(min(prose_after[i], 20))))
-    return numbers, out
+    none = {"words": 0, "density": 0.0}
+    for i, b in enumerate(found):
+        before, behind = found[i - 1] if i else none, found[i + 1] if i + 1 < len(found) else none
+        out.append((*(float(b[name]) for name in FEATURES[:11]), float(before["words"]), before["density"], float(behind["words"]), behind["density"]))
+    return [b["number"] for b in found], out

@@ -16,6 +16,11 @@ def p1_articles(spark, d):
     return p1_pages.articles(table(spark, d, "documents"))
 
 
+def p1_lines(spark, d):
+    lines = p1_pages.classified_lines(table(spark, d, "documents"))
+    return lines.groupBy("furniture").agg(F.count("*").alias("n_lines"))
+
+
 def p2_found(spark, d):
     return p2_budget.falsifying_fields(table(spark, d, "chunks"), table(spark, d, "documents"), table(spark, d, "sources"))
 
@@ -107,7 +112,7 @@ def p8_heldout(spark, d):
     return p8_abuse.heldout_report(table(spark, d, "documents"), table(spark, d, "review_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_articles, p3_found, p3_topk, p3_recall, p4_found, p4_reasons, p4_copies, p4_handwritten, p5_found, p5_pairs, p7_found, p7_suites, p8_found, p8_scores, p8_rates, p8_sentences, p8_heldout, p2_found, p2_budget_totals, p2_document_tokens, p2_chunk_estimates, p6_ids, p6_roundtrip)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_articles, p1_lines, p3_found, p3_topk, p3_recall, p4_found, p4_reasons, p4_copies, p4_handwritten, p5_found, p5_pairs, p7_found, p7_suites, p8_found, p8_scores, p8_rates, p8_sentences, p8_heldout, p2_found, p2_budget_totals, p2_document_tokens, p2_chunk_estimates, p6_ids, p6_roundtrip)}
 
 _WORDS = "len(regexp_extract_all(content, '[^\\x{09}-\\x{0d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'))"
 _AUDIT = f"""
