@@ -9,10 +9,11 @@ The threshold is the distance that belongs to ``min_similarity`` or the k-th bes
 Accuracy loss comes from the lists not probed and from the test (``epsilon``); recall against brute force is measured in the
 tests and by ``p3_recall``.
 
-Scale: the index is fitted on at most ``sample`` vectors in hash order (centroids of at most ``sample`` / 8 lists are broadcast:
-5,000 x 64 floats is 1.3 MB), and every row is indexed. The number of lists follows the number of rows up to that bound (2.56
-million rows); beyond it the lists grow. Every vector is compared with all centroids. Vectors travel once
-per probed list, in half precision where that is exact; queries travel under a number instead of their id. Lists that the sample shows to be larger than ``block`` are cut into
+Scale: every row is indexed. The number of lists follows the number of rows up to ``MAX_LISTS`` (33.5 million rows; their centroids,
+65,536 x 64 floats or 16 MB, are broadcast); beyond it lists grow with the rows (1e9 rows: 15,000 for each list). Lists are fitted
+in two levels in Spark on a sample of 32 vectors a list (at most 2.1 million). Every vector is compared with all centroids. Vectors
+travel once per probed list, in half precision where that is exact; queries travel under a number instead of their id, in as many
+partitions as their bytes ask for. Lists that the sample shows to be larger than ``block`` are cut into
 member and query blocks by hash, so no group outgrows a task. Of exact copies only the ``k + 1`` smallest ids can be among
 anyone's k nearest (ties go to the smaller id), so only these enter the lists, limited before the shuffle; all ids get results.
 
@@ -24,10 +25,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from math import sqrt
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.store import latest_of_repeated
@@ -35,8 +37,8 @@ from ..runtime import broadcast_if_small, checkpointed
 
 #: Production parameters.
 DIMENSIONS, K, EPSILON, COLUMNS = 64, 10, 2.1, 16
-LIST_SIZE, MAX_LISTS, SAMPLE, BLOCK = 512, 65_536, 40_000, 4096
-PROBES, SEARCH_PROBES = 6, 64
+LIST_SIZE, MAX_LISTS, PER_LIST, TOP_SAMPLE, BLOCK = 512, 65_536, 32, 40_000, 16_384
+PROBES, SEARCH_PROBES, TASK_BYTES = 6, 64, 8 * 1024 * 1024
 
 
 def latest_rows(rows: DataFrame, key: str = "id", order: str = "created_at", value: str = "embedding") -> DataFrame:
@@ -76,64 +78,108 @@ def usable_vectors(rows: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     return rows.select("id", F.col("value").cast("array<float>").alias("value")).mapInArrow(run, "id string, vec binary")
 
 
-class Lists:
-    """Rotation and centroids, fitted on a bounded sample, which also bounds their number to an eighth of it."""
-
-    def __init__(self, sample: np.ndarray, n_rows: int, list_size: int = LIST_SIZE, max_lists: int = MAX_LISTS, block: int = BLOCK, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        dimensions = sample.shape[1]
-        q, r = np.linalg.qr(rng.standard_normal((dimensions, dimensions)))
-        self.rotation = q * np.sign(np.diag(r))
-        turned = (sample @ self.rotation).astype(np.float32)
-        n_lists = int(np.clip(min(n_rows // list_size, len(sample) // 8), 1, max_lists))
-        self.centroids = self.means(turned, n_lists, rng)
-        sizes = np.bincount(self.assign(turned, 1)[:, 0], minlength=n_lists) * (n_rows / max(1, len(turned)))
-        self.blocks = np.maximum(1, np.ceil(sizes / block)).astype(np.int64)
-
-    @staticmethod
-    def nearest(rows: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
-        out = np.empty((len(rows), min(n, len(centroids))), np.int64)
-        half_norms = 0.5 * (centroids**2).sum(axis=1)
-        for at in range(0, len(rows), 2048):
-            score = rows[at : at + 2048] @ centroids.T - half_norms
-            if out.shape[1] == 1:
-                out[at : at + 2048, 0] = score.argmax(axis=1)
-            else:
-                part = np.argpartition(-score, out.shape[1] - 1, axis=1)[:, : out.shape[1]]
-                out[at : at + 2048] = np.take_along_axis(part, np.argsort(-np.take_along_axis(score, part, 1), axis=1), 1)
-        return out
-
-    @classmethod
-    def means(cls, rows: np.ndarray, n: int, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
-        centroids = rows[rng.permutation(len(rows))[:n]].copy()
-        for _ in range(rounds if n > 1 else 1):
-            nearest = cls.nearest(rows, centroids, 1)[:, 0]
-            sums = np.zeros_like(centroids)
-            np.add.at(sums, nearest, rows)
-            counts = np.bincount(nearest, minlength=len(centroids))
-            full = counts > 0
-            centroids[full] = sums[full] / counts[full, None]
-        return centroids
-
-    def assign(self, turned: np.ndarray, probes: int) -> np.ndarray:
-        """The nearest lists of each rotated vector, the nearest first."""
-        return self.nearest(turned, self.centroids, probes)
-
-
-def fit_lists(vectors: DataFrame, dimensions: int = DIMENSIONS, sample: int = SAMPLE, **options) -> Lists | None:
-    """Lists fitted on at most ``sample`` vectors; None for an empty table."""
+def nearest(rows: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` nearest centroids of each row, the nearest first."""
+    out = np.empty((len(rows), min(n, len(centroids))), np.int64)
+    half_norms = 0.5 * (centroids**2).sum(axis=1)
+    step = max(1, min(2048, 16_000_000 // len(centroids)))
+    for at in range(0, len(rows), step):
+        score = rows[at : at + step] @ centroids.T - half_norms
+        if out.shape[1] == 1:
+            out[at : at + step, 0] = score.argmax(axis=1)
+        else:
+            part = np.argpartition(-score, out.shape[1] - 1, axis=1)[:, : out.shape[1]]
+            out[at : at + step] = np.take_along_axis(part, np.argsort(-np.take_along_axis(score, part, 1), axis=1), 1)
+    return out
+
+
+def means(rows: np.ndarray, n: int, seed: int, rounds: int = 6) -> np.ndarray:
+    """``n`` centroids of the rows by Lloyd's rounds."""
+    centroids = rows[np.random.default_rng(seed).permutation(len(rows))[:n]].copy()
+    for _ in range(rounds if n > 1 else 1):
+        owner = nearest(rows, centroids, 1)[:, 0]
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, owner, rows)
+        counts = np.bincount(owner, minlength=len(centroids))
+        full = counts > 0
+        centroids[full] = sums[full] / counts[full, None]
+    return centroids
+
+
+class Lists(NamedTuple):
+    """Rotation, centroids of the lists, and the number of blocks that each list is cut into."""
+
+    rotation: np.ndarray
+    centroids: np.ndarray
+    blocks: np.ndarray
+
+
+def number_of_lists(n_rows: int, list_size: int = LIST_SIZE, max_lists: int = MAX_LISTS) -> int:
+    return int(np.clip(n_rows // list_size, 1, max_lists))
+
+
+def in_sample(column: Column, wanted: int, n_rows: int) -> Column:
+    """Rows whose hash falls in a part of the range that holds about ``wanted`` of them, the same in every run."""
+    buckets = 1 << 30
+    return F.pmod(column, F.lit(buckets)) < min(buckets, int(wanted / max(1, n_rows) * buckets) + 1)
+
+
+def fit_lists(vectors: DataFrame, dimensions: int = DIMENSIONS, list_size: int = LIST_SIZE, max_lists: int = MAX_LISTS, block: int = BLOCK, per_list: int = PER_LIST, seed: int = 7) -> tuple[Lists, int] | None:
+    """Lists and the number of rows; None for an empty table.
+
+    Fitted in two levels, at every size: some coarse centroids on at most ``TOP_SAMPLE`` vectors, then Spark splits a sample of
+    ``per_list`` vectors for each list by its coarse centroid and fits the lists of every part in a task of its own (large parts are
+    salted, so no task has more than ``TOP_SAMPLE`` vectors). Only centroids and counts come to the driver.
+    """
     n_rows = vectors.count()
     if not n_rows:
         return None
-    # A slice of the hash range holds a little more than the sample; sorted by hash and cut, the sample is the same in every run.
-    buckets = 1_000_000
-    wide = min(buckets, int(1.05 * sample / n_rows * buckets) + 1)
+    spark = vectors.sparkSession
+    n_lists = number_of_lists(n_rows, list_size, max_lists)
     order = F.xxhash64("id")
-    picked = vectors.where(F.pmod(order, F.lit(buckets)) < wide).select(order.alias("h"), "vec").toArrow()
+    rng = np.random.default_rng(seed)
+    q, r = np.linalg.qr(rng.standard_normal((dimensions, dimensions)))
+    rotation = q * np.sign(np.diag(r))
+    picked = vectors.where(in_sample(order, TOP_SAMPLE, n_rows)).select(order.alias("h"), "vec").limit(2 * TOP_SAMPLE).toArrow()
     if not picked.num_rows:
         picked = vectors.select(order.alias("h"), "vec").orderBy("h").limit(1).toArrow()
-    picked = picked.sort_by("h").slice(0, sample)
-    return Lists(unpack(picked.column("vec").combine_chunks(), dimensions), n_rows, **options)
+    picked = picked.sort_by("h").slice(0, TOP_SAMPLE)
+    top = means((unpack(picked.column("vec").combine_chunks(), dimensions) @ rotation).astype(np.float32), int(np.ceil(np.sqrt(n_lists))), seed)
+    sample = checkpointed(vectors.where(in_sample(order, max(TOP_SAMPLE, per_list * n_lists), n_rows)).select("num", "vec"))
+    n_sample = max(1, sample.count())
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            turned = (unpack(batch.column(1), dimensions) @ rotation).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(nearest(turned, top, 1)[:, 0]), batch.column(0), batch.column(1)], names=["cell", "num", "vec"])
+
+    cells = checkpointed(sample.mapInArrow(split, "cell long, num long, vec binary"))
+    sizes = {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()}
+    salts = np.ones(len(top), np.int64)
+    for cell, n in sizes.items():
+        salts[cell] = -(-n // TOP_SAMPLE)
+    salt = F.pmod(F.xxhash64("num"), F.element_at(F.lit(salts.tolist()), (F.col("cell") + 1).cast("int")))
+
+    def refine(group: pa.Table) -> pa.Table:
+        turned = (unpack(group.column("vec").combine_chunks(), dimensions) @ rotation).astype(np.float32)
+        turned = turned[np.argsort(group.column("num").to_numpy(), kind="stable")]
+        found = means(turned, int(np.clip(round(len(turned) / n_sample * n_lists), 1, len(turned))), seed)
+        return pa.table({"centroid": pa.array(list(found), pa.list_(pa.float32()))})
+
+    fitted = cells.withColumn("salt", salt).groupBy("cell", "salt").applyInArrow(refine, "centroid array<float>").toArrow() if sizes else None
+    centroids = np.array(fitted.column("centroid").to_pylist(), np.float32).reshape(-1, dimensions) if fitted is not None else top
+    centroids = centroids[np.lexsort(centroids.T)]
+    shared = spark.sparkContext.broadcast(centroids)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            turned = (unpack(batch.column(1), dimensions) @ rotation).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(nearest(turned, shared.value, 1)[:, 0])], names=["cell"])
+
+    held = np.zeros(len(centroids))
+    for r in sample.mapInArrow(count, "cell long").groupBy("cell").count().collect():
+        held[r["cell"]] = r["count"] * n_rows / n_sample
+    return Lists(rotation, centroids, np.maximum(1, np.ceil(held / block)).astype(np.int64)), n_rows
 
 
 def adaptive_scan(queries: np.ndarray, members: np.ndarray, k: int, min_similarity: float | None, columns: int = COLUMNS, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,9 +237,10 @@ def neighbours(vectors: DataFrame, k: int = K, min_similarity: float | None = No
     results of ids that are nobody's neighbour because k + 1 smaller ids have the very same vector.
     """
     spark = vectors.sparkSession
-    lists = fit_lists(vectors, dimensions, **options)
-    if lists is None:
+    fitted = fit_lists(vectors, dimensions, **options)
+    if fitted is None:
         return spark.createDataFrame([], "id string, neighbour string, similarity double, rank int")
+    lists, n_rows = fitted
     shared = spark.sparkContext.broadcast(lists)
     # Of exact copies only the k + 1 smallest ids can be neighbours.
     eligible = copies(vectors, k).where(F.col("copy") <= k + 1)
@@ -207,7 +254,7 @@ def neighbours(vectors: DataFrame, k: int = K, min_similarity: float | None = No
                 turned = (unpack(batch.column(1), dimensions) @ lists.rotation).astype(np.float32)
                 asks = np.array(batch.column(3).fill_null(False).to_numpy(zero_copy_only=False), bool)
                 own = (batch.column(2).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)).astype(np.int64)
-                cells = lists.assign(turned, probes)
+                cells = nearest(turned, lists.centroids, probes)
                 rows, bins, mine, seek = [], [], [], []
 
                 def emit(r, cell, mb, qb, member, ask, rows=rows, bins=bins, mine=mine, seek=seek):
@@ -257,7 +304,10 @@ def neighbours(vectors: DataFrame, k: int = K, min_similarity: float | None = No
         return pa.table({"num": pa.array(q_num[r[best]]), "neighbour": m_ids.take(pa.array(c[best])), "similarity": pa.array(cosine[best], pa.float64())})
 
     placed = asking.select("id", "vec", "num", "asks").mapInArrow(place, "bin long, num long, id string, vec binary, asks boolean")
-    met = placed.groupBy("bin").applyInArrow(scan, "num long, neighbour string, similarity double")
+    # Partitions follow the rows that travel, so that tasks stay as large as they are whatever the table's size.
+    shipped = n_rows * (probes if queries is None else 2) * 3 * dimensions
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shipped // TASK_BYTES + 1)
+    met = placed.repartition(n_parts, "bin").groupBy("bin").applyInArrow(scan, "num long, neighbour string, similarity double")
     best = Window.partitionBy("num").orderBy(F.desc("similarity"), "neighbour")
     ranked = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     ranked = ranked.join(vectors.select("num", "id"), "num").select("id", "neighbour", "similarity", "rank")
@@ -290,35 +340,46 @@ def search(chunks: DataFrame, k: int = K, probes: int = SEARCH_PROBES, every: in
     return neighbours(vectors, k=k, probes=probes, queries=vectors.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("id"))
 
 
-def brute_force(vectors: DataFrame, queries: DataFrame, k: int = K, dimensions: int = DIMENSIONS, most: int = 500) -> DataFrame:
-    """Exact ``id``, ``neighbour``, ``similarity``, ``rank`` for at most ``most`` queries, whose vectors are broadcast; for measuring recall."""
-    asked = queries.select("id", "vec").orderBy("id").limit(most).toArrow()
-    shared = vectors.sparkSession.sparkContext.broadcast((asked.column("id").to_pylist(), unpack(asked.column("vec").combine_chunks(), dimensions) if asked.num_rows else np.empty((0, dimensions))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, wanted = shared.value
-        for batch in batches:
-            if not batch.num_rows or not names:
-                continue
-            ids = np.array(batch.column(0).to_pylist(), object)
-            cosine = np.round(wanted @ unpack(batch.column(1), dimensions).T, 12)
-            out = {"id": [], "neighbour": [], "similarity": []}
-            for row, name in enumerate(names):
-                near = [j for j in np.argpartition(-cosine[row], min(2 * k, len(ids) - 1))[: 2 * k + 1] if ids[j] != name]
-                out["id"] += [name] * len(near)
-                out["neighbour"] += [ids[j] for j in near]
-                out["similarity"] += [float(cosine[row, j]) for j in near]
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("id", pa.string()), ("neighbour", pa.string()), ("similarity", pa.float64())]))
-
-    met = vectors.select("id", "vec").mapInArrow(run, "id string, neighbour string, similarity double")
+def brute_force(vectors: DataFrame, queries: DataFrame, k: int = K, dimensions: int = DIMENSIONS, block: int = 500) -> DataFrame:
+    """Exact ``id``, ``neighbour``, ``similarity``, ``rank`` for the queries; their vectors are broadcast in blocks, for measuring recall."""
+    asked = checkpointed(queries.select("id", "vec"))
+    n_blocks = -(-asked.count() // block)
+    results = None
+    for number in range(max(1, n_blocks)):
+        part = asked.where(F.pmod(F.xxhash64("id", F.lit("block")), F.lit(max(1, n_blocks))) == number).toArrow()
+        shared = vectors.sparkSession.sparkContext.broadcast((part.column("id").to_pylist(), unpack(part.column("vec").combine_chunks(), dimensions) if part.num_rows else np.empty((0, dimensions))))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, wanted = shared.value
+            for batch in batches:
+                if not batch.num_rows or not names:
+                    continue
+                ids = np.array(batch.column(0).to_pylist(), object)
+                cosine = np.round(wanted @ unpack(batch.column(1), dimensions).T, 12)
+                out = {"id": [], "neighbour": [], "similarity": []}
+                for row, name in enumerate(names):
+                    near = [j for j in np.argpartition(-cosine[row], min(2 * k, len(ids) - 1))[: 2 * k + 1] if ids[j] != name]
+                    out["id"] += [name] * len(near)
+                    out["neighbour"] += [ids[j] for j in near]
+                    out["similarity"] += [float(cosine[row, j]) for j in near]
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("id", pa.string()), ("neighbour", pa.string()), ("similarity", pa.float64())]))
+
+        met = vectors.select("id", "vec").mapInArrow(run, "id string, neighbour string, similarity double")
+        results = met if results is None else results.unionByName(met)
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
-    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return results.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def recall(chunks: DataFrame, k: int = K, probes: int = SEARCH_PROBES, most: int = 500) -> DataFrame:
-    """One row: number of queries, true neighbours among them and the share the index finds."""
+def recall(chunks: DataFrame, k: int = K, every: int = 100, min_similarity: float = 0.90) -> DataFrame:
+    """The share of true neighbours that the index finds for the queries of ``search``, against all rows: a row for the search, and one
+    for the settings of ``mutual_pairs`` (fewer probes, neighbours at least ``min_similarity`` alike)."""
     vectors = prepared(chunks)
-    queries = vectors.where(F.pmod(F.xxhash64("id"), F.lit(20)) == 0).orderBy("id").limit(most)
-    exact = brute_force(vectors, queries, k=k, most=most).select("id", "neighbour")
-    met = neighbours(vectors, k=k, probes=probes, queries=queries.select("id")).select("id", "neighbour", F.lit(1).alias("met"))
-    return exact.join(met, ["id", "neighbour"], "left").agg(F.count_distinct("id").alias("n_queries"), F.count("*").alias("n_true"), F.count("met").alias("n_met"), (F.count("met") / F.count("*")).alias("recall"))
+    queries = vectors.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
+    exact = checkpointed(brute_force(vectors, queries, k=k))
+    report = None
+    for name, probes, least in (("search", SEARCH_PROBES, None), ("pairs", PROBES, min_similarity)):
+        met = neighbours(vectors, k=k, probes=probes, min_similarity=least, queries=queries.select("id")).select("id", "neighbour", F.lit(1).alias("met"))
+        true = exact if least is None else exact.where(F.col("similarity") >= least)
+        part = true.join(met, ["id", "neighbour"], "left").agg(F.lit(name).alias("setting"), F.count_distinct("id").alias("n_queries"), F.count("*").alias("n_true"), F.count("met").alias("n_met"), (F.count("met") / F.nullif(F.count("*"), F.lit(0))).alias("recall"))
+        report = part if report is None else report.unionByName(part)
+    return report

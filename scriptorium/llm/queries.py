@@ -70,12 +70,17 @@ def p4_copies(spark, d):
     return p4_sources.upstream_copies(table(spark, d, "documents"), table(spark, d, "upstream_files"))
 
 
+def p4_repository_copies(spark, d):
+    documents = table(spark, d, "documents")
+    return p4_sources.repository_copies(documents, p4_sources.judged_files(documents))
+
+
 def p4_handwritten(spark, d):
     return p4_sources.handwritten_report(table(spark, d, "documents"), table(spark, d, "upstream_files"))
 
 
 def p5_found(spark, d):
-    return p5_functions.found(table(spark, d, "chunks"), table(spark, d, "symbols"), table(spark, d, "documents"))
+    return p5_functions.found(table(spark, d, "chunks"), table(spark, d, "symbols"))
 
 
 def p5_pairs(spark, d):
@@ -112,7 +117,7 @@ def p8_heldout(spark, d):
     return p8_abuse.heldout_report(table(spark, d, "documents"), table(spark, d, "review_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_articles, p1_lines, p3_found, p3_topk, p3_recall, p4_found, p4_reasons, p4_copies, p4_handwritten, p5_found, p5_pairs, p7_found, p7_suites, p8_found, p8_scores, p8_rates, p8_sentences, p8_heldout, p2_found, p2_budget_totals, p2_document_tokens, p2_chunk_estimates, p6_ids, p6_roundtrip)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_articles, p1_lines, p3_found, p3_topk, p3_recall, p4_found, p4_reasons, p4_copies, p4_repository_copies, p4_handwritten, p5_found, p5_pairs, p7_found, p7_suites, p8_found, p8_scores, p8_rates, p8_sentences, p8_heldout, p2_found, p2_budget_totals, p2_document_tokens, p2_chunk_estimates, p6_ids, p6_roundtrip)}
 
 _WORDS = "len(regexp_extract_all(content, '[^\\x{09}-\\x{0d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'))"
 _AUDIT = f"""
@@ -128,7 +133,13 @@ owned AS (
 audit AS (
   SELECT l.*, o.true_name, o.true_version, o.document_id IS NOT NULL AS known FROM latest l LEFT JOIN owned o ON o.document_id = l.document_id)
 """
+_LINES = "list_distinct(list_filter(list_transform(string_split({}, chr(10)), lambda l: trim(regexp_replace(l, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), ' ')), lambda l: regexp_matches(l, '[\\p{{L}}\\p{{N}}]')))"
 ORACLES = {
+    "p4_copies": f"""
+WITH d AS (SELECT doc_id, {_LINES.format("raw_content")} AS lines FROM documents WHERE regexp_matches(path, '(?i)\\.(py|gd|ts|tsx|js|jsx|rs|go|cpp|h|frag|vert|glsl)$') AND NOT regexp_matches(path, '(?i)^https?://')),
+u AS (SELECT file_id, {_LINES.format("content")} AS lines FROM upstream_files),
+pairs AS (SELECT doc_id, file_id, len(list_intersect(d.lines, u.lines)) / len(u.lines) AS containment FROM d, u WHERE len(u.lines) >= 5)
+SELECT doc_id, file_id, containment FROM pairs WHERE containment >= 0.5""",
     "p2_found": _AUDIT
     + """
 SELECT id, 'token_count' AS field_name FROM audit WHERE token_count IS DISTINCT FROM n_tokens
