@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +31,16 @@ def split_oversize(body: Column, most: int = MAX_CHARACTERS) -> Column:
     return F.when(F.length(body) <= most, F.array(T.strip(body))).otherwise(F.aggregate(F.split(body, "\n\n"), start, pack, close))
 
 
-def sections(documents: DataFrame, key: str = "doc_id", content: str = "raw_content") -> DataFrame:
+def sections(documents: DataFrame, key: str = "doc_id", content: str = "raw_content", keep: Sequence[str] = ()) -> DataFrame:
     """``key``, ``section_no``, ``heading`` and ``body`` split at headings of level 1 to 3.
 
-    Text before the first heading is section 0 with an empty heading if it is there; blank sections are dropped but keep their number.
+    ``keep`` names further columns to carry along. Text before the first heading is section 0 with an empty heading if it is there; blank sections are dropped but keep their number.
     """
     plain = T.uniform_lines(F.col(content))
     parts = F.filter(F.split(plain, r"(?m)(?=^#{1,3}[ \t]+\S)"), lambda p: p != "")
-    split = documents.select(key, F.posexplode(parts).alias("section_no", "part"))
+    split = documents.select(key, *keep, F.posexplode(parts).alias("section_no", "part"))
     heading = r"^#{1,3}[ \t]+([^\n]*)\n?"
-    named = split.select(key, "section_no", T.strip(F.regexp_extract("part", heading, 1)).alias("heading"), T.strip(F.regexp_replace("part", heading, "")).alias("body"))
+    named = split.select(key, *keep, "section_no", T.strip(F.regexp_extract("part", heading, 1)).alias("heading"), T.strip(F.regexp_replace("part", heading, "")).alias("body"))
     return named.where(F.col("body") != "")
 
 
@@ -55,16 +57,16 @@ def overview_chunks(documents: DataFrame, content: str = "raw_content") -> DataF
 def chunk_text(documents: DataFrame, content: str = "raw_content", most: int = MAX_CHARACTERS) -> DataFrame:
     """Chunks of prose documents: one per section, more where a section is too long.
 
-    ``doc_id``, ``chunk_index`` (100 per section), ``qualified_name``, ``heading``, ``summary``, ``content``, ``token_count``.
+    ``doc_id``, ``chunk_index`` (100 per section), ``parent_name`` (the title), ``qualified_name``, ``heading``, ``summary``, ``content``, ``token_count``.
     """
     titled = documents.withColumn("doc_title", F.coalesce("title", T.title_of(F.col(content), F.col("path"))))
-    parts = sections(titled.select("doc_id", content), content=content).withColumn("parts", split_oversize(F.col("body"), most))
-    flat = parts.select("doc_id", "section_no", "heading", F.size("parts").alias("n_parts"), F.posexplode("parts").alias("part_no", "content"))
-    named = flat.join(titled.select("doc_id", "doc_title"), "doc_id")
+    parts = sections(titled.select("doc_id", "doc_title", content), content=content, keep=["doc_title"]).withColumn("parts", split_oversize(F.col("body"), most))
+    named = parts.select("doc_id", "doc_title", "section_no", "heading", F.size("parts").alias("n_parts"), F.posexplode("parts").alias("part_no", "content"))
     label = F.when(F.col("heading") == "", F.col("doc_title")).otherwise(F.col("heading"))
     return named.select(
         "doc_id",
         (F.col("section_no") * 100 + F.col("part_no")).alias("chunk_index"),
+        F.col("doc_title").alias("parent_name"),
         F.concat_ws(".", "doc_title", label, F.when(F.col("n_parts") > 1, F.col("part_no").cast("string"))).alias("qualified_name"),
         label.alias("heading"),
         T.first_sentence(F.col("content")).alias("summary"),

@@ -52,7 +52,24 @@ def page_lines(chunks: DataFrame) -> DataFrame:
     return rows.select(*OF, T.safe_filename(F.col("parent_name")).alias("file"), F.coalesce("section", F.lit("Other")).alias("section"), F.row_number().over(place).alias("place"), F.concat(heading, F.coalesce("content", F.lit(""))).alias("text"))
 
 
+def headed(lines: DataFrame) -> DataFrame:
+    """Page parts with the page's title above the first and the section's name above the first of each section."""
+    before = F.lag("section").over(Window.partitionBy(*OF).orderBy("place"))
+    title = F.when(F.col("place") == 1, F.concat(F.lit("# "), "parent_name", F.lit("\n\n"))).otherwise("")
+    section = F.when(before.isNull() | (before != F.col("section")), F.concat(F.lit("## "), "section", F.lit("\n\n"))).otherwise("")
+    return lines.withColumn("text", F.concat(title, section, "text"))
+
+
+def class_lines(chunks: DataFrame) -> DataFrame:
+    """Index of the members of each class: ``file``, ``section``, ``place`` and a line ``text`` with name and summary for each."""
+    pages = chunks.where(F.col("parent_name").isNotNull()).join(parents(chunks).where("kind = 'class'").select(*[F.col(c).alias(f"_{c}") for c in OF]), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in OF], "left_semi")
+    name = F.coalesce(F.substring_index("qualified_name", ".", -1), "heading", F.lit(""))
+    summary = T.first_line(F.coalesce("summary", F.lit("")))
+    line = F.concat(F.lit("- **"), name, F.lit("**"), F.when(summary != "", F.concat(F.lit(" — "), summary)).otherwise(""))
+    return page_lines(pages.where("chunk_type <> 'class_overview'").withColumn("content", line).withColumn("heading", F.lit("")))
+
+
 def write_pages(lines: DataFrame, target: str) -> None:
-    """Write page parts as text, one folder per source, version and page, in order within each."""
-    ordered = lines.repartition("source_name", "source_version", "file").sortWithinPartitions("source_name", "source_version", "file", "place")
+    """Write page parts with their headings as text, one folder per source, version and page, in order within each."""
+    ordered = headed(lines).repartition("source_name", "source_version", "file").sortWithinPartitions("source_name", "source_version", "file", "place")
     ordered.select("source_name", "source_version", "file", F.col("text").alias("value")).write.mode("overwrite").partitionBy("source_name", "source_version", "file").text(target)

@@ -1,11 +1,12 @@
-"""The knowledge base's tables: keyed merges, change detection, replacement of chunks, and snapshots swapped by a pointer.
+"""The knowledge base's tables: keyed merges, change detection, replacement of chunks, and numbered snapshots.
 
-Parquet has no MERGE, so a merge is a full outer join on the key followed by a new snapshot; readers follow the pointer, so a
-lost job leaves the old snapshot in place.
+Parquet has no MERGE, so a merge is a full outer join on the key followed by a new snapshot. A snapshot counts once its mark stands
+beside it; marks are only ever added, so a job lost at any point leaves the old snapshot in place.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -67,7 +68,7 @@ def dedupe_ids(rows: DataFrame, key: str = "id", order: Sequence[str] = ("create
 
 
 class Snapshots:
-    """Tables as numbered parquet snapshots below a root, each with a pointer file that names the current one."""
+    """Tables as numbered parquet snapshots below a root, each with a mark of its own once it is whole."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -75,19 +76,23 @@ class Snapshots:
         self.files = self.path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def current(self, name: str) -> int:
-        """Number of the current snapshot, 0 when there is none."""
-        pointer = self.path(f"{self.root}/{name}/_current")
-        if not self.files.exists(pointer):
+        """Number of the newest whole snapshot, 0 when there is none."""
+        folder = self.path(f"{self.root}/{name}")
+        if not self.files.exists(folder):
             return 0
-        return int(self.spark.read.text(f"{self.root}/{name}/_current").first()[0])
+        marks = [re.fullmatch(r"v(\d+)\.done", file.getPath().getName()) for file in self.files.listStatus(folder)]
+        return max((int(m[1]) for m in marks if m), default=0)
 
     def read(self, name: str) -> DataFrame | None:
         n = self.current(name)
         return self.spark.read.parquet(f"{self.root}/{name}/v{n}") if n else None
 
     def write(self, name: str, rows: DataFrame) -> int:
-        """Write the next snapshot, then move the pointer; the previous snapshot stays readable."""
+        """Write the next snapshot, then its mark; the previous snapshot stays readable. What a lost job left is written over."""
         n = self.current(name) + 1
         rows.write.mode("overwrite").parquet(f"{self.root}/{name}/v{n}")
-        self.spark.createDataFrame([(str(n),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}/_current")
+        self._mark(name, n)
         return n
+
+    def _mark(self, name: str, n: int) -> None:
+        self.files.create(self.path(f"{self.root}/{name}/v{n}.done"), True).close()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 # Suffix to language, and per language the line patterns (kind, pattern with the name as group 1).
-LANGUAGES = {"py": "python", "gd": "gdscript", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript", "rs": "rust", "go": "go", "cpp": "cpp", "h": "cpp", "frag": "glsl", "vert": "glsl", "glsl": "glsl"}
+LANGUAGES = {"py": "python", "gd": "gdscript", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript", "rs": "rust", "go": "go", "cpp": "cpp", "h": "cpp", "frag": "glsl", "vert": "glsl", "glsl": "glsl", "comp": "glsl", "geom": "glsl", "tesc": "glsl", "tese": "glsl", "hlsl": "hlsl", "fx": "hlsl", "usf": "hlsl", "ush": "hlsl"}
 PATTERNS = {
     "python": [("class", r"^\s*class\s+(\w+)"), ("method", r"^\s*(?:async\s+)?def\s+(\w+)\s*\("), ("constant", r"^([A-Z][A-Z0-9_]+)\s*=")],
     "gdscript": [("class", r"^class_name\s+(\w+)"), ("method", r"^\s*(?:static\s+)?func\s+(\w+)\s*\("), ("constant", r"^const\s+(\w+)"), ("signal", r"^signal\s+(\w+)")],
@@ -16,7 +16,8 @@ PATTERNS = {
     "rust": [("class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait|impl)\s+(\w+)"), ("method", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+(\w+)"), ("constant", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(\w+)")],
     "go": [("class", r"^type\s+(\w+)\s+(?:struct|interface)"), ("method", r"^func\s+(?:\([^)]*\)\s*)?(\w+)\s*\("), ("constant", r"^const\s+(\w+)")],
     "cpp": [("class", r"^\s*(?:class|struct)\s+(\w+)\s*(?::|\{|$)"), ("constant", r"^\s*static\s+const\s+\w+\s+(\w+)"), ("method", r"^\s*(?:virtual\s+|static\s+|inline\s+)?(?:const\s+)?[A-Za-z_]\w*(?:::\w+)?[&*]?\s+[&*]?(\w+)\s*\([^;]*\)?\s*(?:const\s*)?\{\s*$")],
-    "glsl": [("class", r"^\s*struct\s+(\w+)"), ("constant", r"^\s*#define\s+(\w+)"), ("method", r"^\s*(?:void|float|int|bool|u?vec[234]|mat[234])\s+(\w+)\s*\([^;]*\)\s*\{\s*$")],
+    "hlsl": [("class", r"^\s*struct\s+(\w+)"), ("constant", r"^\s*#define\s+(\w+)"), ("property", r"^\s*(?:cbuffer|tbuffer)\s+(\w+)"), ("property", r"^\s*(?:RW)?(?:Texture\w*|Buffer|StructuredBuffer|ByteAddressBuffer|SamplerState)\s*(?:<[^>]*>)?\s+(\w+)"), ("method", r"^\s*(?:static\s+|inline\s+)*(?:void|bool|int|uint|half|float|double)(?:[1-4](?:x[1-4])?)?\s+(\w+)\s*\([^;]*$")],
+    "glsl": [("class", r"^\s*struct\s+(\w+)"), ("constant", r"^\s*#define\s+(\w+)"), ("property", r"^\s*(?:layout\s*\([^)]*\)\s*)?(?:uniform|in|out|varying|attribute|buffer)\s+\w+\s+(\w+)\s*(?:\[[^\]]*\])?\s*;"), ("property", r"^\s*(?:layout\s*\([^)]*\)\s*)?(?:uniform|buffer)\s+(\w+)\s*\{?\s*$"), ("method", r"^\s*(?:void|float|int|bool|u?vec[234]|mat[234])\s+(\w+)\s*\([^;]*\)\s*\{\s*$")],
 }
 
 

@@ -45,9 +45,15 @@ _LATEST_CHUNKS = "(SELECT * FROM chunks WHERE id IS NOT NULL QUALIFY row_number(
 
 
 def latest_chunks(spark, d):
+    """For few columns: a window over them."""
     return store.dedupe_ids(table(spark, d, "chunks"))
 
 
+def latest_whole(spark, d):
+    """For wide columns: only rows of repeated ids are shuffled."""
+    return store.latest_of_repeated(table(spark, d, "chunks").where(F.col("id").isNotNull()), ["id"], ["created_at"])
+
+
 @query("""
 SELECT s.source, s.doc_type, count(*) AS n_documents, sum(s.n_tokens)::BIGINT AS n_tokens, sum(s.n_sections)::BIGINT AS n_sections FROM (
   SELECT d.source, d.doc_type, coalesce(len(regexp_extract_all(d.raw_content, '""" + _W + """')) * 4 // 3, 0) AS n_tokens,
@@ -242,7 +248,7 @@ def _terms(field: str) -> str:
 
 @query(f"SELECT w2 AS term, count(*) AS n_chunks, sum(tf)::BIGINT AS n_occurrences FROM (SELECT id, w2, count(*) AS tf FROM (SELECT id, unnest({_terms('content')}) AS w2 FROM {_LATEST_CHUNKS}) GROUP BY ALL) GROUP BY 1")
 def term_statistics(spark, d):
-    return search.postings(latest_chunks(spark, d)).groupBy("term").agg(F.count("*").alias("n_chunks"), F.sum("tf").alias("n_occurrences"))
+    return search.postings(latest_whole(spark, d)).groupBy("term").agg(F.count("*").alias("n_chunks"), F.sum("tf").alias("n_occurrences"))
 
 
 _FIELDS = tuple(search.FIELD_WEIGHTS)
@@ -256,11 +262,11 @@ matched AS (SELECT id, round({_TF}, 6) AS rank FROM analysed WHERE ({_HAS("share
 
 @query(_FTS + " SELECT id, rank FROM matched ORDER BY rank DESC, id LIMIT 10")
 def text_search(spark, d):
-    return search.text_search(latest_chunks(spark, d), SEARCH_TEXT).select("id", F.round("rank", 6).alias("rank"))
+    return search.text_search(latest_whole(spark, d), SEARCH_TEXT).select("id", F.round("rank", 6).alias("rank"))
 
 
-def _chunk_vector(spark, d):
-    usable = latest_chunks(spark, d).where(vectors.usable(F.col("embedding"), 64))
+def _chunk_vector(chunks):
+    usable = chunks.where(vectors.usable(F.col("embedding"), 64))
     return usable.select("id", "embedding").orderBy("id").limit(1).first()["embedding"]
 
 
@@ -275,7 +281,8 @@ SELECT coalesce(k.id, s.id) AS id, round(coalesce(1.0 / (60 + keyword_place), 0)
   CASE WHEN semantic_place IS NULL THEN 'keyword' WHEN keyword_place IS NULL THEN 'semantic' ELSE 'hybrid' END AS retrieval
 FROM k FULL JOIN s ON k.id = s.id ORDER BY coalesce(1.0 / (60 + keyword_place), 0) + coalesce(1.0 / (60 + semantic_place), 0) DESC, keyword_place NULLS LAST, semantic_place NULLS LAST LIMIT 10""")
 def hybrid_search(spark, d):
-    found = search.hybrid(latest_chunks(spark, d), SEARCH_TEXT, _chunk_vector(spark, d))
+    chunks = latest_whole(spark, d)
+    found = search.hybrid(chunks, SEARCH_TEXT, _chunk_vector(chunks))
     return found.select("id", F.round("score", 6).alias("score"), "retrieval")
 
 
@@ -286,7 +293,8 @@ _WANTED = ("buffer", "cache", "queue", "worker")
 SELECT id, round(({" + ".join(f"list_contains({_terms('content')}, '{t}')::INT" for t in _WANTED)}) / 4.0, 6) AS rerank_score, round(similarity, 6) AS similarity
 FROM (SELECT * FROM ({_SEMANTIC}) ORDER BY similarity DESC, id LIMIT 50) ORDER BY rerank_score DESC, similarity DESC, id LIMIT 10""")
 def rerank_two_stage(spark, d):
-    found = search.two_stage(latest_chunks(spark, d), RERANK_TEXT, _chunk_vector(spark, d))
+    chunks = latest_whole(spark, d)
+    found = search.two_stage(chunks, RERANK_TEXT, _chunk_vector(chunks))
     return found.select("id", F.round("rerank_score", 6).alias("rerank_score"), F.round("similarity", 6).alias("similarity"))
 
 
@@ -332,7 +340,10 @@ def prose_scan(spark, d):
     return files.prose_documents(table(spark, d, "documents").where(~T.is_url(F.col("path")))).select("path", "title", "doc_type", "content_hash")
 
 
-@query()
+@query("""
+SELECT path, 'class_ref' AS doc_type, md5(raw_content) AS content_hash FROM documents
+WHERE NOT regexp_matches(path, '(?i)^https?://') AND lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) IN (""" + ", ".join(f"'{s}'" for s in files.CODE_SUFFIXES) + """)
+  AND NOT list_has_any(string_split(path, '/')[:-2], [""" + ", ".join(f"'{s}'" for s in files.SKIPPED_FOLDERS) + """]) AND NOT regexp_matches(path, '(^|/)__init__\\.py$') AND """ + _strip("coalesce(raw_content, '')") + """ <> ''""")
 def code_scan(spark, d):
     return files.code_documents(table(spark, d, "documents").where(~T.is_url(F.col("path")))).select("path", "doc_type", "content_hash")
 
@@ -350,7 +361,7 @@ _PARTS = r"string_split(regexp_replace(regexp_replace(regexp_replace(regexp_repl
 @query(f"""
 WITH RECURSIVE pages AS (SELECT DISTINCT {_PARTS} AS parts FROM documents WHERE regexp_matches(path, '(?i)^https?://')),
 edges AS (SELECT DISTINCT array_to_string(parts[1:n], '/') AS s, array_to_string(parts[1:n + 1], '/') AS t FROM (SELECT parts, unnest(range(1, len(parts))) AS n FROM pages)),
-walk(url, level) AS (SELECT DISTINCT parts[1], 0 FROM pages UNION SELECT e.t, w.level + 1 FROM walk w JOIN edges e ON e.s = w.url WHERE w.level < 50)
+walk(url, level) AS (SELECT DISTINCT parts[1], 0 FROM pages UNION SELECT e.t, w.level + 1 FROM walk w JOIN edges e ON e.s = w.url )
 SELECT url, min(level)::INT AS level FROM walk GROUP BY url""")
 def crawl_levels(spark, d):
     documents = table(spark, d, "documents")
@@ -385,7 +396,17 @@ SELECT source_name, source_version, parent_name, substr(regexp_replace(parent_na
   md5(CASE WHEN coalesce(heading, '') <> '' THEN '### ' || heading || chr(10) || chr(10) ELSE '' END || coalesce(content, '')) AS text_hash
 FROM {_LATEST_CHUNKS} WHERE parent_name IS NOT NULL""")
 def export_pages(spark, d):
-    return export.page_lines(latest_chunks(spark, d)).select("source_name", "source_version", "parent_name", "file", "place", F.md5("text").alias("text_hash"))
+    return export.page_lines(latest_whole(spark, d)).select("source_name", "source_version", "parent_name", "file", "place", F.md5("text").alias("text_hash"))
+
+
+@query(f"""
+WITH p AS (SELECT source_name, source_version, parent_name FROM {_LATEST_CHUNKS} WHERE parent_name IS NOT NULL GROUP BY ALL HAVING {_IS_CLASS}),
+m AS (SELECT c.*, substr({_strip("split_part(coalesce(c.summary, ''), chr(10), 1)")}, 1, 200) AS line_summary FROM {_LATEST_CHUNKS} c
+  JOIN p ON c.source_name IS NOT DISTINCT FROM p.source_name AND c.source_version IS NOT DISTINCT FROM p.source_version AND c.parent_name = p.parent_name WHERE c.chunk_type <> 'class_overview')
+SELECT source_name, source_version, parent_name, row_number() OVER (PARTITION BY source_name, source_version, parent_name ORDER BY list_position(['class_overview', 'property', 'method', 'signal', 'constant', 'enum', 'shader_entry_point', 'tutorial_section'], chunk_type) NULLS LAST, chunk_index NULLS FIRST, id)::INT AS place,
+  '- **' || coalesce(list_extract(string_split(qualified_name, '.'), -1), heading, '') || '**' || CASE WHEN line_summary <> '' THEN ' — ' || line_summary ELSE '' END AS text FROM m""")
+def export_classes(spark, d):
+    return export.class_lines(latest_whole(spark, d)).select("source_name", "source_version", "parent_name", "place", "text")
 
 
 @query(f"SELECT chunk_type, key, count(*) AS n_rows FROM (SELECT chunk_type, unnest(json_keys(metadata)) AS key FROM {_LATEST_CHUNKS} WHERE json_valid(metadata)) GROUP BY ALL")
@@ -404,27 +425,31 @@ def _declaration_sql() -> str:
     for language, patterns in symbols.PATTERNS.items():
         for i, (kind, pattern) in enumerate(patterns):
             earlier = "".join(f" AND NOT regexp_matches(line, '{p}')" for _, p in patterns[:i])
-            parts.append(f"SELECT doc_id, line_no, language, '{kind}' AS kind, regexp_extract(line, '{pattern}', 1) AS name FROM lines WHERE language = '{language}' AND regexp_matches(line, '{pattern}'){earlier}")
+            parts.append(f"SELECT doc_id, line_no, language, '{kind}' AS kind, regexp_extract(line, '{pattern}', 1) AS name, line FROM lines WHERE language = '{language}' AND regexp_matches(line, '{pattern}'){earlier}")
     cases = " ".join(f"WHEN '{suffix}' THEN '{language}'" for suffix, language in symbols.LANGUAGES.items())
     return f"""
 WITH files AS (SELECT doc_id, CASE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) {cases} END AS language, regexp_replace(regexp_replace(raw_content, '^\\x{{feff}}', ''), '\\r\\n?', chr(10), 'g') AS code
   FROM documents WHERE NOT regexp_matches(path, '(?i)^https?://') AND raw_content IS NOT NULL),
 split AS (SELECT doc_id, language, string_split(code, chr(10)) AS ls FROM files WHERE language IS NOT NULL),
-lines AS (SELECT doc_id, language, (generate_subscripts(ls, 1) - 1)::INT AS line_no, unnest(ls) AS line FROM split)
-{" UNION ALL ".join(parts)}"""
+lines AS (SELECT doc_id, language, (generate_subscripts(ls, 1) - 1)::INT AS line_no, unnest(ls) AS line FROM split),
+declared AS ({" UNION ALL ".join(parts)})
+"""
 
 
-@query(_declaration_sql())
+@query(_declaration_sql() + "SELECT doc_id, line_no, language, kind, name FROM declared")
 def code_declarations(spark, d):
     return symbols.declarations(table(spark, d, "documents")).select("doc_id", "line_no", "language", "kind", "name")
 
 
-@query()
+@query(_declaration_sql() + "SELECT doc_id, line_no, language, kind, name, " + _strip("regexp_replace(line, '[ \\t\\n\\x0b\\f\\r{:]+$', '')") + """ AS signature,
+  CASE WHEN kind = 'method' THEN last_value(CASE WHEN kind = 'class' THEN name END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS parent FROM declared""")
 def code_symbols(spark, d):
     return symbols.with_parents(symbols.declarations(table(spark, d, "documents")))
 
 
-@query()
+@query(_declaration_sql() + """
+SELECT s.chunk_type, count(*) AS n_symbols, count(d.name) AS n_declared
+FROM (SELECT DISTINCT doc_id, name, chunk_type FROM symbols WHERE name IS NOT NULL) s LEFT JOIN (SELECT DISTINCT doc_id, name FROM declared) d ON d.doc_id = s.doc_id AND d.name = s.name GROUP BY 1""")
 def symbol_agreement(spark, d):
     return symbols.symbol_agreement(table(spark, d, "documents"), table(spark, d, "symbols"))
 
@@ -436,16 +461,19 @@ def event_windows(spark, d):
 
 @query("SELECT event_type, count(*) AS n_events, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1")
 def stream_event_types(spark, d):
-    """The events read as a file stream to its end; the stateful counts land in the shared folder and are read back."""
+    """The events read as a file stream to its end; the stateful counts land in the shared folder and are read back.
+
+    The stream counts per day, type and user, and lets a day go once the watermark has passed it, so its state holds the open days only.
+    """
     ensure_checkpoint_dir(spark)
     root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    counted = stream.groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    counted = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "2 hours").groupBy(F.window("ts", "1 day").alias("day"), "event_type", "user_id").agg(F.count("*").alias("n"))
 
     def write(batch, number):
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
-    counted.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    counted.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     final = spark.read.parquet(f"{root}/out")
-    last = final.groupBy("event_type", "user_id").agg(F.max("n").alias("n"))
+    last = final.groupBy("day", "event_type", "user_id").agg(F.max("n").alias("n"))
     return last.groupBy("event_type").agg(F.sum("n").alias("n_events"), F.count_distinct("user_id").alias("n_users"))

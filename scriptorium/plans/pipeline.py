@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -38,8 +38,7 @@ def route_chunks(documents: DataFrame) -> DataFrame:
     kind = F.when(~is_class, "prose").when(F.when(suffix != "", language_of(F.col("path"))).isNotNull(), "source").when(suffix.isin("xml", "json"), suffix).otherwise("page")
     known = documents.select("doc_id", "path", "title", "raw_content", kind.alias("kind"))
     of = lambda name: known.where(F.col("kind") == name)
-    prose = chunk_text(of("prose")).withColumn("chunk_type", F.lit("tutorial_section"))
-    prose = prose.join(of("prose").select("doc_id", F.coalesce("title", T.title_of(text, F.col("path"))).alias("parent_name")), "doc_id").select(*CHUNK)
+    prose = chunk_text(of("prose")).withColumn("chunk_type", F.lit("tutorial_section")).select(*CHUNK)
     sources = source_chunks(of("source")).select(*CHUNK)
     undeclared = of("source").where(~declares(F.col("path"), text))
     parts = _described(api.xml_chunks(of("xml").select("doc_id", F.from_xml(text, api.CLASS_XML, {"rowTag": "class", "valueTag": "inner_text"}).alias("c")).select("doc_id", "c.*"), ["doc_id"]))
@@ -55,9 +54,26 @@ def _described(parts: DataFrame) -> DataFrame:
     return parts.withColumn("chunk_index", F.row_number().over(order) - 1).withColumn("heading", F.substring_index("qualified_name", ".", -1)).select(*CHUNK)
 
 
-def run_ingest(spark: SparkSession, store: str, scanned: DataFrame, source_name: str, source_version: str = "latest") -> dict[str, int]:
-    """Merge scanned documents into the store and re-chunk those that are new or changed; returns counts."""
+def source_row(spark: SparkSession, name: str, version: str, source_type: str, origin: str | None) -> DataFrame:
+    """The row of one source under its deterministic id."""
+    row = spark.createDataFrame([(name, version, source_type, origin)], "name string, version string, source_type string, origin string")
+    return row.select(F.md5(F.concat_ws("\n", "name", "version")).alias("id"), "*", F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"))
+
+
+def run_ingest(
+    spark: SparkSession, store: str, scanned: DataFrame, source_name: str, source_version: str = "latest", source_type: str = "docs", origin: str | None = None,
+    embed: Callable[[Column], Column] | None = None, paths: DataFrame | None = None,
+) -> dict[str, int]:
+    """Merge scanned documents into the store and re-chunk those that are new or changed; returns counts.
+
+    The source's row is kept up to date. ``embed`` makes the ``embedding`` column from the chunks' text (any column expression, such as a
+    Pandas UDF that asks a service). ``paths`` (a column ``path``) restricts the run to some files.
+    """
     snapshots = Snapshots(spark, store)
+    if paths is not None:
+        scanned = scanned.join(paths.select("path").distinct(), "path", "left_semi")
+    source, sources = source_row(spark, source_name, source_version, source_type, origin), snapshots.read("sources")
+    snapshots.write("sources", source if sources is None else upsert(sources, source, ["name", "version"], ["source_type", "origin", "updated_at"]))
     incoming = document_rows(scanned, source_name, source_version)
     stored, chunks = snapshots.read("documents"), snapshots.read("chunks")
     changed = incoming if stored is None else detect_changes(stored, incoming).where("change <> 'same'").drop("change")
@@ -67,6 +83,8 @@ def run_ingest(spark: SparkSession, store: str, scanned: DataFrame, source_name:
         fresh = route_chunks(changed.withColumnRenamed("id", "doc_id")).withColumnRenamed("doc_id", "document_id")
         fresh = fresh.join(changed.select(F.col("id").alias("document_id"), F.col("source").alias("source_name"), "source_version"), "document_id")
         fresh = fresh.withColumn("id", F.md5(F.concat_ws("\n", "document_id", F.col("chunk_index").cast("string"))))
+        if embed:
+            fresh = fresh.withColumn("embedding", embed(F.concat_ws("\n", "qualified_name", "summary", "content")))
         snapshots.write("chunks", fresh if chunks is None else replace_chunks(chunks, changed.select(F.col("id").alias("document_id")), fresh))
         snapshots.write("documents", incoming if stored is None else upsert(stored, changed, ["id"], [c for c in changed.columns if c != "id"]))
     out = {"documents": incoming.count(), "changed": n_changed, "chunks": snapshots.read("chunks").count() if snapshots.current("chunks") else 0}
@@ -85,8 +103,9 @@ def run_search(spark: SparkSession, store: str, query: str, vector: Sequence[flo
 
 
 def run_export(spark: SparkSession, store: str, target: str, **filters) -> None:
-    """Write every page of the matching chunks and an index of their parents."""
+    """Write every page of the matching chunks, an index of the members of each class and an index of the parents."""
     chunks = search.matching(Snapshots(spark, store).read("chunks"), **filters)
     export.write_pages(export.page_lines(chunks), f"{target}/pages")
+    export.write_pages(export.class_lines(chunks), f"{target}/classes")
     index = export.index_lines(chunks).repartition("source_name", "source_version").sortWithinPartitions("source_name", "source_version", "line_no")
     index.select("source_name", "source_version", F.col("line").alias("value")).write.mode("overwrite").partitionBy("source_name", "source_version").text(f"{target}/index")

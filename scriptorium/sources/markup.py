@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# The admonitions of the RST format, in its own order.
+ADMONITIONS = ("attention", "caution", "danger", "error", "hint", "important", "note", "tip", "warning")
 # Rewriting rules in order, as (pattern, replacement).
 RST_RULES = [
     (r"(?m)^\.\. _[^:\n]+:[ \t]*\n?", ""),
-    (r"(?m)^\.\. (note|warning|tip|important|caution|danger|hint|attention|seealso)::[ \t]*([^\n]*)", "**$1:** $2"),
+    (rf"(?m)^\.\. ({'|'.join(ADMONITIONS)}|seealso)::[ \t]*([^\n]*)", "**$1:** $2"),
     (r"(?m)^\.\. (?:image|figure|toctree|contents|raw|include|only|meta)::[^\n]*\n(?:[ \t]+[^\n]*\n|[ \t]*\n(?=[ \t]+\S))*", ""),
     (r":(?:ref|doc|class|meth|func|attr|mod|term):`([^`<\n]+?)\s*<[^>`\n]*>`", "$1"),
     (r":(?:ref|doc|class|meth|func|attr|mod|term):`~?([^`\n]+)`", "$1"),
@@ -22,6 +24,7 @@ RST_RULES = [
     (r"(?m)^(\S[^\n]*)\n-{3,}[ \t]*$", "## $1"),
     (r"(?m)^(\S[^\n]*)\n[~]{3,}[ \t]*$", "### $1"),
     (r"(?m)^(\S[^\n]*)\n\^{3,}[ \t]*$", "#### $1"),
+    (r"(?m)^(\S[^\n]*)\n([\"'`+*#:._])\2{2,}[ \t]*$", "#### $1"),
     (r"``([^`\n]+)``", "`$1`"),
     (r"\n{3,}", "\n\n"),
 ]

@@ -1,5 +1,6 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import crawl, export, search, store
@@ -25,7 +26,19 @@ def test_latest_row_wins_with_ties_and_nulls(spark):
     assert {r["id"]: r["v"] for r in store.dedupe_ids(rows).collect()} == {"a": 2, "b": 4}
 
 
-def test_snapshots_move_a_pointer(spark, tmp_path):
+def test_a_lost_job_leaves_the_old_snapshot(spark, tmp_path, monkeypatch):
+    tables = store.Snapshots(spark, str(tmp_path))
+    tables.write("t", spark.range(3))
+    with monkeypatch.context() as m:  # the job ends after the rows, before the mark
+        m.setattr(store.Snapshots, "_mark", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            tables.write("t", spark.range(9))
+    assert tables.current("t") == 1 and tables.read("t").count() == 3
+    (tmp_path / "t" / "v2" / "part-left-by-a-lost-job.parquet.crc").write_text("x")
+    assert tables.write("t", spark.range(5)) == 2 and tables.read("t").count() == 5
+
+
+def test_snapshots_count_once_they_are_marked(spark, tmp_path):
     snapshots = store.Snapshots(spark, str(tmp_path / "kb"))
     assert snapshots.read("t") is None
     snapshots.write("t", spark.range(3))
@@ -170,6 +183,37 @@ def test_crawl_levels_take_the_shortest_way_and_stop_on_cycles(spark):
     assert got == {"a": 0, "b": 1, "c": 1}
 
 
+def test_crawl_goes_as_deep_as_links_do_and_keeps_its_rules(spark):
+    deep = spark.createDataFrame([(f"h.x/{i}", f"h.x/{i + 1}") for i in range(11)] + [("h.x/3", "o.x/1"), ("h.x/2", "h.x/private")], "source_url string, target_url string")
+    seeds = spark.createDataFrame([("h.x/0",)], "url string")
+    got = {r["url"]: r["level"] for r in crawl.levels(deep, seeds, exclude=["private"], same_host=True).collect()}
+    assert got == {f"h.x/{i}": i for i in range(12)}
+
+
+def test_ingest_search_and_export_end_to_end(spark, tmp_path):
+    """Prose, code, XML and JSON go through chunking and embedding to hybrid search and to exported pages."""
+    xml = '<class name="Node" inherits="Object"><brief_description>A node.</brief_description><methods><method name="run"><return type="int"/><description>Runs the lazy worker.</description></method></methods></class>'
+    api = '{"classes": [{"name": "Mesh", "doc_comments": "A mesh of lazy triangles.", "methods": [], "properties": []}]}'
+    rows = [
+        ("guide.md", "Guide", "guide", "# Guide\nThe lazy worker reads a shared buffer.\n## More\nNothing else."), ("src/tree.py", None, "class_ref", 'class Tree:\n    def walk(self):\n        return self.buffer\n'),
+        ("doc/Node.xml", None, "class_ref", xml), ("doc/mesh.json", None, "class_ref", api),
+    ]
+    scanned = spark.createDataFrame(rows, "path string, title string, doc_type string, raw_content string").withColumn("content_hash", F.md5("raw_content"))
+    embed = lambda text: F.array(F.length(text).cast("float"), F.when(text.contains("worker"), 100.0).otherwise(0.0).cast("float"))
+    root = str(tmp_path / "store")
+    first = pipeline.run_ingest(spark, root, scanned, "lib", "1", embed=embed)
+    assert first["documents"] == first["changed"] == 4
+    changed = scanned.withColumn("raw_content", F.concat("raw_content", F.lit(" "))).withColumn("content_hash", F.md5("raw_content"))
+    assert pipeline.run_ingest(spark, root, changed, "lib", "1", embed=embed, paths=scanned.where("path = 'guide.md'"))["changed"] == 1
+    assert [(r["name"], r["version"]) for r in store.Snapshots(spark, root).read("sources").collect()] == [("lib", "1")]
+    found = pipeline.run_search(spark, root, "lazy worker", [50.0, 100.0], k=5).collect()
+    assert {r["retrieval"] for r in found} >= {"hybrid"} and found[0]["embedding"] is not None
+    pipeline.run_export(spark, root, str(tmp_path / "out"))
+    pages = "\n".join(p.read_text() for p in (tmp_path / "out" / "pages").rglob("part-*.txt"))
+    assert "# Guide" in pages and "## Overview" in pages and "## Methods" in pages
+    assert "- **run**" in "\n".join(p.read_text() for p in (tmp_path / "out" / "classes").rglob("part-*.txt"))
+
+
 def test_plans_push_filters_and_prune_columns(spark, data):
     rows = search.matching(spark.read.parquet(f"{data}/chunks.parquet"), source_name="x", chunk_types=["method"]).select("id")
     plan = rows._jdf.queryExecution().executedPlan().toString()
