@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 # The code points that end a word in the Unicode sense, as a character class.
 WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE_CHARACTERS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(text: Column) -> Column:
     """Without white space (in the Unicode sense) at both ends."""
-    return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
+    return F.btrim(text, F.lit(WHITE_CHARACTERS))
 
 
 def uniform_lines(text: Column) -> Column:
@@ -23,7 +24,8 @@ def uniform_lines(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{WHITE}]+"))
+    """Words between white space; mapped to blanks first, since a pattern of one character is several times as fast as the class."""
+    return F.regexp_count(F.translate(text, WHITE_CHARACTERS, " " * len(WHITE_CHARACTERS)), F.lit("[^ ]+"))
 
 
 def token_estimate(text: Column) -> Column:

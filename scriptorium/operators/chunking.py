@@ -37,8 +37,9 @@ def sections(documents: DataFrame, key: str = "doc_id", content: str = "raw_cont
     ``keep`` names further columns to carry along. Text before the first heading is section 0 with an empty heading if it is there; blank sections are dropped but keep their number.
     """
     plain = T.uniform_lines(F.col(content))
+    # Outer generators: for others the optimizer computes the array once more to filter on its size.
     parts = F.filter(F.split(plain, r"(?m)(?=^#{1,3}[ \t]+\S)"), lambda p: p != "")
-    split = documents.select(key, *keep, F.posexplode(parts).alias("section_no", "part"))
+    split = documents.select(key, *keep, F.posexplode_outer(parts).alias("section_no", "part"))
     heading = r"^#{1,3}[ \t]+([^\n]*)\n?"
     named = split.select(key, *keep, "section_no", T.strip(F.regexp_extract("part", heading, 1)).alias("heading"), T.strip(F.regexp_replace("part", heading, "")).alias("body"))
     return named.where(F.col("body") != "")
@@ -61,7 +62,7 @@ def chunk_text(documents: DataFrame, content: str = "raw_content", most: int = M
     """
     titled = documents.withColumn("doc_title", F.coalesce("title", T.title_of(F.col(content), F.col("path"))))
     parts = sections(titled.select("doc_id", "doc_title", content), content=content, keep=["doc_title"]).withColumn("parts", split_oversize(F.col("body"), most))
-    named = parts.select("doc_id", "doc_title", "section_no", "heading", F.size("parts").alias("n_parts"), F.posexplode("parts").alias("part_no", "content"))
+    named = parts.select("doc_id", "doc_title", "section_no", "heading", F.size("parts").alias("n_parts"), F.posexplode_outer("parts").alias("part_no", "content"))
     label = F.when(F.col("heading") == "", F.col("doc_title")).otherwise(F.col("heading"))
     return named.select(
         "doc_id",

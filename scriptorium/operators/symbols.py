@@ -25,6 +25,15 @@ def language_of(path: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])[T.path_suffix(path)]
 
 
+def _may_declare(language: Column, line: Column) -> Column:
+    """Whether a line matches any pattern of its language: one pattern for each line, before kind and name are looked for."""
+    patterns = {lang: "|".join(f"(?:{pattern})" for _, pattern in patterns) for lang, patterns in PATTERNS.items()}
+    hit = F.lit(False)
+    for lang, pattern in patterns.items():
+        hit = F.when(language == lang, line.rlike(pattern)).otherwise(hit)
+    return hit
+
+
 def _declared(language: Column, line: Column) -> tuple[Column, Column]:
     """Kind and name of the declaration in a line; null where there is none."""
     kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -58,29 +67,32 @@ _ATTACHED = {"hash": r"^\s*(?:#|@)", "slash": r"^\s*(?://|/\*|\*(?:[\s/]|$)|@|#\
 _FREE = ("python", "rust", "typescript")
 
 
-def declares(path: Column, content: Column) -> Column:
-    """Whether any line of a source file is a declaration."""
-    language = language_of(path)
-    return F.coalesce(F.exists(F.split(T.uniform_lines(content), "\n"), lambda line: _declared(language, line)[0].isNotNull()), F.lit(False))
-
-
 def source_chunks(documents: DataFrame, content: str = "raw_content") -> DataFrame:
     """A chunk for every declaration of a source file: its lines up to the next declaration, with the comments and decorators above it.
 
     ``doc_id``, ``chunk_index`` (order in the file), ``chunk_type``, ``parent_name``, ``qualified_name``, ``heading``, ``summary``, ``content``,
-    ``token_count``, ``first_line``, ``last_line`` (from 0). Lines above the first declaration start no chunk; a narrow plan.
+    ``token_count``, ``first_line``, ``last_line`` (from 0). Lines above the first declaration start no chunk. A file in which nothing is
+    declared is one ``class_overview`` with its whole text, if it has one. A narrow plan: every line is tried once.
     """
     language = F.col("language")
-    files = documents.select("doc_id", T.path_stem(F.col("path")).alias("stem"), language_of(F.col("path")).alias("language"), F.split(T.uniform_lines(F.col(content)), "\n").alias("lines")).where(language.isNotNull())
+    text = T.uniform_lines(F.col(content))
+    files = documents.select("doc_id", T.path_stem(F.col("path")).alias("stem"), language_of(F.col("path")).alias("language"), F.coalesce("title", T.title_of(F.col(content), F.col("path"))).alias("title"), F.split(text, "\n").alias("lines")).where(language.isNotNull())
 
     def mark(line: Column, number: Column) -> Column:
-        kind, name = _declared(language, line)
+        hit = _may_declare(language, line)
         above = F.when(language.isin("python", "gdscript"), line.rlike(_ATTACHED["hash"])).otherwise(line.rlike(_ATTACHED["slash"]))
-        return F.struct(number.alias("no"), kind.alias("kind"), name.alias("name"), (kind.isNull() & above).alias("attached"), line.rlike(r"^\S").alias("outer"))
+        return F.struct(number.alias("no"), F.when(hit, "hit").when(above, "attached").otherwise("other").alias("is"))
 
-    lines = files.withColumn("marks", F.transform("lines", mark)).withColumn("marks", F.filter("marks", lambda m: ~m["attached"]))
-    began = lambda m, at: F.struct(m["no"].alias("no"), m["kind"].alias("kind"), m["name"].alias("name"), m["outer"].alias("outer"), F.when(at == 0, 0).otherwise(F.get("marks", at - 1)["no"] + 1).alias("first"))
-    found = lines.withColumn("found", F.transform("marks", began)).withColumn("found", F.filter("found", lambda m: m["kind"].isNotNull()))
+    lines = files.withColumn("marks", F.transform("lines", mark)).withColumn("marks", F.filter("marks", lambda m: m["is"] != "attached"))
+    began = lambda m, at: F.struct(m["no"].alias("no"), m["is"].alias("is"), F.when(at == 0, 0).otherwise(F.get("marks", at - 1)["no"] + 1).alias("first"))
+    hits = lines.withColumn("found", F.filter(F.transform("marks", began), lambda m: m["is"] == "hit")).drop("marks")
+
+    def named(m: Column) -> Column:
+        line = F.get("lines", m["no"])
+        kind, name = _declared(language, line)
+        return F.struct(m["no"].alias("no"), kind.alias("kind"), name.alias("name"), line.rlike(r"^\S").alias("outer"), m["first"].alias("first"))
+
+    found = hits.withColumn("found", F.transform("found", named))
     types = found.withColumn("types", F.filter("found", lambda m: m["kind"] == "class"))
 
     def chunk(m: Column, at: Column) -> Column:
@@ -91,15 +103,22 @@ def source_chunks(documents: DataFrame, content: str = "raw_content") -> DataFra
         text = F.array_join(F.slice("lines", m["first"] + 1, end - m["first"]), "\n")
         return F.struct(m["kind"].alias("kind"), m["name"].alias("name"), parent.alias("parent"), m["no"].alias("no"), F.get("lines", m["no"]).alias("line"), m["first"].alias("first_line"), (end - 1).alias("last_line"), F.regexp_replace(text, r"\s+$", "").alias("content"))
 
-    flat = types.select("doc_id", "stem", "language", F.posexplode(F.transform("found", chunk)).alias("chunk_index", "c"))
+    def whole() -> Column:
+        none = F.lit(None).cast("string")
+        return F.struct(F.lit("whole").alias("kind"), F.col("title").alias("name"), none.alias("parent"), F.lit(0).alias("no"), none.alias("line"), F.lit(0).alias("first_line"), (F.size("lines") - 1).alias("last_line"), F.array_join("lines", "\n").alias("content"))
+
+    chunks = F.when(F.size("found") == 0, F.array(whole())).otherwise(F.transform("found", chunk))
+    # The outer generator keeps the optimizer from computing the chunks once more for a filter on their number.
+    flat = types.select("doc_id", "stem", "language", F.posexplode_outer(chunks).alias("chunk_index", "c")).where(T.strip(F.col("c.content")) != "")
+    is_whole = F.col("c.kind") == "whole"
     return flat.select(
         "doc_id",
         "chunk_index",
-        F.when(F.col("c.kind") == "class", "class_overview").when((language == "glsl") & (F.col("c.name") == "main"), "shader_entry_point").otherwise(F.col("c.kind")).alias("chunk_type"),
-        F.concat_ws(".", "stem", "c.parent").alias("parent_name"),
-        F.concat_ws(".", "stem", "c.parent", "c.name").alias("qualified_name"),
+        F.when(F.col("c.kind").isin("class", "whole"), "class_overview").when((language == "glsl") & (F.col("c.name") == "main"), "shader_entry_point").otherwise(F.col("c.kind")).alias("chunk_type"),
+        F.when(is_whole, F.col("c.name")).otherwise(F.concat_ws(".", "stem", "c.parent")).alias("parent_name"),
+        F.when(is_whole, F.col("c.name")).otherwise(F.concat_ws(".", "stem", "c.parent", "c.name")).alias("qualified_name"),
         F.col("c.name").alias("heading"),
-        T.strip(F.regexp_replace("c.line", r"[\s{:]+$", "")).alias("summary"),
+        F.when(is_whole, T.first_sentence(F.col("c.content"))).otherwise(T.strip(F.regexp_replace("c.line", r"[\s{:]+$", ""))).alias("summary"),
         F.col("c.content").alias("content"),
         T.token_estimate(F.col("c.content")).alias("token_count"),
         F.col("c.first_line").alias("first_line"),

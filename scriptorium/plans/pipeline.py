@@ -11,7 +11,8 @@ from ..functions import text as T
 from ..operators import export, search
 from ..operators.chunking import chunk_text, overview_chunks
 from ..operators.store import Snapshots, detect_changes, replace_chunks, upsert
-from ..operators.symbols import declares, language_of, source_chunks
+from ..operators.symbols import language_of, source_chunks
+from ..runtime import checkpointed, spread
 from ..sources import api
 
 
@@ -36,15 +37,16 @@ def route_chunks(documents: DataFrame) -> DataFrame:
     text = F.col("raw_content")
     is_class, suffix = F.coalesce(F.col("doc_type") == "class_ref", F.lit(False)), F.when(~T.is_url(F.col("path")), T.path_suffix(F.col("path")))
     kind = F.when(~is_class, "prose").when(F.when(suffix != "", language_of(F.col("path"))).isNotNull(), "source").when(suffix.isin("xml", "json"), suffix).otherwise("page")
-    known = documents.select("doc_id", "path", "title", "raw_content", kind.alias("kind"))
+    known = spread(documents.select("doc_id", "path", "title", "raw_content", kind.alias("kind")))
     of = lambda name: known.where(F.col("kind") == name)
     prose = chunk_text(of("prose")).withColumn("chunk_type", F.lit("tutorial_section")).select(*CHUNK)
     sources = source_chunks(of("source")).select(*CHUNK)
-    undeclared = of("source").where(~declares(F.col("path"), text))
-    parts = _described(api.xml_chunks(of("xml").select("doc_id", F.from_xml(text, api.CLASS_XML, {"rowTag": "class", "valueTag": "inner_text"}).alias("c")).select("doc_id", "c.*"), ["doc_id"]))
-    parts = parts.unionByName(_described(api.json_chunks(of("json").select("doc_id", F.from_json(text, api.API_JSON).alias("c")).select("doc_id", "c.*"), ["doc_id"])))
-    undescribed = known.where(F.col("kind").isin("xml", "json")).join(parts.select("doc_id").distinct(), "doc_id", "left_anti")
-    overviews = overview_chunks(of("page").unionByName(undeclared).unionByName(undescribed.select(*known.columns)))
+    # Descriptions are read once and written, since every kind of part is a pass of its own over them.
+    described = checkpointed(known.where(F.col("kind").isin("xml", "json")))
+    parts = _described(api.xml_chunks(described.where("kind = 'xml'").select("doc_id", F.from_xml(text, api.CLASS_XML, {"rowTag": "class", "valueTag": "inner_text"}).alias("c")).select("doc_id", "c.*"), ["doc_id"]))
+    parts = parts.unionByName(_described(api.json_chunks(described.where("kind = 'json'").select("doc_id", F.from_json(text, api.API_JSON).alias("c")).select("doc_id", "c.*"), ["doc_id"])))
+    undescribed = described.join(parts.select("doc_id").distinct(), "doc_id", "left_anti")
+    overviews = overview_chunks(of("page").unionByName(undescribed.select(*known.columns)))
     return prose.unionByName(sources).unionByName(parts).unionByName(overviews.select(*CHUNK))
 
 

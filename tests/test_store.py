@@ -105,7 +105,7 @@ def test_every_document_is_chunked_by_its_kind(spark):
     assert names[3] == [(0, "class_overview", "Node"), (1, "method", "Node.run")]
     assert [n[2] for n in names[4]] == ["AActor", "AActor.Tick", "Global.Abs"]
     assert [n[2] for n in names[5]] == ["t5.One", "t5.Two"] and names[6] == [(0, "tutorial_section", "t6.t6")]
-    assert names[7] == [(0, "class_overview", "t7")] and chunks[8][0]["content"] == "no markup" and names[10] == [(0, "class_overview", "t10")]
+    assert names[7] == [(0, "class_overview", "t7")] and chunks[8][0]["content"] == "no markup" and names[10] == [(0, "method", "a.f")]
     assert [n[2] for n in names[11]] == ["b.Run", "b.Box"]
     assert set(chunks) == {1, 2, 3, 4, 5, 6, 7, 8, 10, 11}
 
