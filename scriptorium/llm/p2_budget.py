@@ -3,7 +3,8 @@
 The tokenizer is described by its pre-splitting and by the lengths that need no merging: a piece that is itself a vocabulary
 entry is one token. Those pieces are summed where the document is read. Every other distinct piece is tokenized exactly
 once (distinct over the whole corpus), and its length is joined back to the documents' piece frequencies, so totals are
-exact. Frequencies are counted per document before anything is shuffled, so a hot piece arrives pre-aggregated.
+exact. Frequencies are counted per document before anything is shuffled. Pieces that very many documents have are joined by a
+broadcast (there are at most ``HOT_PIECES`` of them, by their threshold), all others by a shuffle, so no piece makes a hot key.
 
 The project's own estimate (``WORDS``) is the limiting case: after splitting at Unicode white space every piece has length
 one, so no distinct piece is left to tokenize and the join is empty; the count stays in the JVM.
@@ -23,6 +24,8 @@ from ..runtime import checkpointed, spread
 from .bpe import SPLIT, TOKENIZERS, load_ranks, merge_piece
 
 WORDS = "words"
+#: Most pieces that are joined by a broadcast, the fewest documents that such a piece has, and its most characters.
+HOT_PIECES, HOT_ROWS, HOT_CHARACTERS = 50_000, 1000, 128
 
 #: Spellings of languages besides two-letter codes.
 LANGUAGES = {"english": "en", "eng": "en", "german": "de", "deutsch": "de", "deu": "de", "ger": "de", "spanish": "es", "español": "es", "spa": "es", "french": "fr", "français": "fr", "fra": "fr", "fre": "fr", "chinese": "zh", "中文": "zh", "zho": "zh", "chi": "zh", "cn": "zh"}
@@ -73,15 +76,21 @@ def document_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text
         vocabulary = ranks.value
         for batch in batches:
             lengths = [len(merge_piece(piece.encode(), vocabulary)) for piece in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int32())], names=["piece", "length"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, pa.int32())], names=["piece", "n_rows", "length"])
 
     # Read twice below (distinct pieces, then frequencies), so the splitting is written once.
     hashed = spread(source).withColumn("text_hash", F.xxhash64("doc_text"))
     read = hashed.mapInArrow(split, f"doc_key {kind}, text_hash long, known long, open array<struct<piece:string,n:long>>")
     counted = checkpointed(read.dropDuplicates(["doc_key", "text_hash"]).drop("text_hash"))
     open_pieces = counted.select("doc_key", F.explode("open").alias("o")).select("doc_key", "o.piece", "o.n")
-    lengths = open_pieces.select("piece").distinct().mapInArrow(measure, "piece string, length int")
-    merged = open_pieces.join(lengths, "piece").groupBy("doc_key").agg(F.sum(F.col("n") * F.col("length")).alias("merged"))
+    lengths = checkpointed(open_pieces.groupBy("piece").agg(F.count("*").alias("n_rows")).mapInArrow(measure, "piece string, n_rows long, length int"))
+    # n pieces of at least total / HOT_PIECES rows each have no more rows than there are, so n <= HOT_PIECES.
+    least = max(HOT_ROWS, -(-(lengths.agg(F.sum("n_rows")).first()[0] or 0) // HOT_PIECES))
+    hot = (F.col("n_rows") >= least) & (F.length("piece") <= HOT_CHARACTERS)
+    tried = open_pieces.join(F.broadcast(lengths.where(hot).select("piece", F.col("length").alias("hot_length"))), "piece", "left")
+    cold = tried.where(F.col("hot_length").isNull()).join(lengths.where(~hot), "piece").select("doc_key", (F.col("n") * F.col("length")).alias("merged"))
+    counted_pieces = tried.where(F.col("hot_length").isNotNull()).select("doc_key", (F.col("n") * F.col("hot_length")).alias("merged")).unionByName(cold)
+    merged = counted_pieces.groupBy("doc_key").agg(F.sum("merged").alias("merged"))
     return counted.groupBy("doc_key").agg(F.sum("known").alias("known")).join(merged, "doc_key", "left").select(F.col("doc_key").alias(key), (F.col("known") + F.coalesce("merged", F.lit(0))).alias("n_tokens"))
 
 
