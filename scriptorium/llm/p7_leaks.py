@@ -288,10 +288,9 @@ def bit_positions(values: np.ndarray, bits: int, probes: int) -> list[np.ndarray
     return [(mix(values, 77 + p) & np.uint64(bits - 1)).astype(np.int64) for p in range(probes)]
 
 
-def bloom_filter(values: DataFrame, probes: int = PROBES, bits_per_key: int = BITS_PER_KEY) -> tuple[int, np.ndarray]:
-    """Number of bits and bitmap of a column of long values, built in Spark; at most ``MAX_BITS`` bits (32 MB) reach the driver."""
-    n = max(1, values.count())
-    bits = int(min(MAX_BITS, max(1 << 16, 1 << int(np.ceil(np.log2(n * bits_per_key))))))
+def bloom_filter(values: DataFrame, n: int, probes: int = PROBES, bits_per_key: int = BITS_PER_KEY) -> tuple[int, np.ndarray]:
+    """Number of bits and bitmap of a column of at most ``n`` long values, built in Spark; at most ``MAX_BITS`` bits (32 MB) reach the driver."""
+    bits = int(min(MAX_BITS, max(1 << 16, 1 << int(np.ceil(np.log2(max(1, n) * bits_per_key))))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -389,15 +388,17 @@ def leak_matches(documents: DataFrame, items: DataFrame, key: str = "doc_id", te
     source = spread(documents.select(F.col(key).alias("doc_key"), F.col(text).cast("string").alias("doc_text")))
     kind = source.schema["doc_key"].dataType.simpleString()
     classes, members = item_classes(items)
-    widths = {width_of(r["n"]) for r in classes.select(F.size("words").alias("n")).distinct().collect()}
-    repeats = {width: repetitions(width) for width in sorted(widths)}
+    sizes = classes.groupBy(F.size("words").alias("n")).count().collect()  # as many rows as items have lengths
+    n_words = sum(r["n"] * r["count"] for r in sizes)
+    repeats = {width: repetitions(width) for width in sorted({width_of(r["n"]) for r in sizes})}
+    n_keys = sum(r["n"] * r["count"] * repeats[width_of(r["n"])] for r in sizes)
     keys = checkpointed(item_keys(classes, repeats))
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([word_code(w) for w in batch.column(0).to_pylist()], pa.int64())], names=["code"])
 
-    known = bloom_filter(classes.select(F.explode("words").alias("word")).distinct().mapInArrow(codes, "code long"), probes=1)
+    known = bloom_filter(classes.select(F.explode("words").alias("word")).mapInArrow(codes, "code long"), n_words, probes=1)
 
     def own_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -407,8 +408,8 @@ def leak_matches(documents: DataFrame, items: DataFrame, key: str = "doc_id", te
                 codes.append(run_codes(values[k : len(words) - RUN + 1 + k] for k in range(RUN))[np.array(own, bool)])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes or [np.empty(0, np.uint64)]).view(np.int64))], names=["code"])
 
-    runs = bloom_filter(classes.select("words", "own").mapInArrow(own_runs, "code long"))
-    shared = spark.sparkContext.broadcast((known, bloom_filter(keys.select("key").distinct()), runs))
+    runs = bloom_filter(classes.select("words", "own").mapInArrow(own_runs, "code long"), n_words)
+    shared = spark.sparkContext.broadcast((known, bloom_filter(keys.select("key"), n_keys), runs))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bloom, runs = shared.value
