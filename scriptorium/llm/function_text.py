@@ -51,6 +51,7 @@ class Function(NamedTuple):
     has_body: bool
     documentation: str
     says_something: bool
+    further: str
 
 
 def split_fence(content: str) -> tuple[str, str]:
@@ -212,5 +213,11 @@ def read_function(name: str | None, content: str | None, summary: str | None) ->
     own = "\n".join(t for t in (comment, prose) if t)
     texts = [t for t in (own, summary or "") if t.strip()]
     useful = [t for t in texts if informative(t, name or "", signature)]
-    documentation = plain_doc(useful[0], signature) if useful else ""
-    return Function(signature, overload_of(signature), bare, body, documentation, bool(useful))
+    documentation, further = [*(plain_doc(t, signature) for t in useful), "", ""][:2]
+    return Function(signature, overload_of(signature), bare, body, documentation, bool(useful), further)
+
+
+def beyond_counterpart(name: str | None, signature: str, counterpart: str, *documentations: str) -> list[str]:
+    """Of a function's documentations those that also say something beyond its ``counterpart``'s signature (a definition's declaration, or the other way round)."""
+    plain = [plain_doc(text, counterpart) for text in documentations]
+    return [text for text in plain if informative(text, name or "", f"{signature} {counterpart}")]

@@ -263,3 +263,31 @@ def test_definitions_take_their_own_class_documentation(spark):
     docs = spark.createDataFrame([(1, "da", "s", "one.h"), (2, "db", "s", "two.h")], "doc_id long, id string, source string, path string")
     pairs = {r["row_key"]: r["documentation"] for r in p5_functions.function_pairs(chunks, symbols, docs).where("doc_from = 'declaration'").collect()}
     assert set(pairs) == {"a2", "b2", "c2"} and "tile" in pairs["a2"] and "river" in pairs["b2"] and "cloud" in pairs["c2"]
+
+
+def test_documentation_is_judged_after_declarations_are_joined(spark):
+    """What restates the signature of a function's declaration, or of its definition, says nothing, though its own signature has other names."""
+    restated, says = "Loads tile, river and castle.", "Blocks until every ship has arrived from the distant server."
+    row = lambda signature, doc, body: f"```cpp\n/// {doc}\n{signature}" + (" {\n    return a + 1;\n}\n```" if body else ";\n```")
+    named, other, bare = "int load(int tile, float river, bool castle)", "int load(int ship, float river, bool castle)", "int load(int a, float b, bool c)"
+    rows = [
+        ("a1", "dh", "one.Map.load", row(named, says, False)), ("a2", "dc", "one.Map.load", row(bare, restated, True)),  # the definition restates its declaration
+        ("b1", "dh", "two.Sea.load", row(bare, restated, False)), ("b2", "dc", "two.Sea.load", row(named, says, True)),  # the other way round
+        ("c1", "dh", "api.Sky.load", row(named, says, False)), ("c2", "dc", "impl.Sky.load", row(bare, restated, True)),  # by type and name
+        ("d1", "dc", "lone.Bay.load", row(bare, restated, True)), ("d2", "dx", "one.Map.load", row(bare, restated, True)),  # no declaration; one in another source
+        ("e1", "dh", "x.Fog.load", row(named, says, False)), ("e2", "dh", "x.Fog.load", row(other, says, False)), ("e3", "dc", "x.Fog.load", row(bare, restated, True)),  # ambiguous
+        ("f1", "dh", "y.Ice.load", row(named, says, False)), ("f2", "dc", "y.Ice.load", row(bare, says, True)),
+        ("h1", "dh", "api.Oak.load", row(named, says, False)), ("h2", "dc", "p.Oak.load", row(bare, restated, True)), ("h3", "dc", "q.Oak.load", row(bare, restated, True)),  # two modules define it
+    ]
+    chunks = spark.createDataFrame([(i, d, "method", q, c, None, T0) for i, d, q, c in rows], "id string, document_id string, chunk_type string, qualified_name string, content string, summary string, created_at timestamp")
+    symbols = spark.createDataFrame(
+        [(1, 1, "load", "method", row(named, says, False), None, "Elm"), (2, 2, "load", "method", row(bare, restated, True), says, "Elm"), (3, 2, "load", "method", row(bare, restated, True), restated, "Elm"), (4, 2, None, "method", row(bare, restated, True), None, None)],
+        "symbol_id long, doc_id long, name string, chunk_type string, content string, summary string, parent string",
+    )
+    docs = spark.createDataFrame([(1, "dh", "s", "m.h"), (2, "dc", "s", "m.cpp"), (3, "dx", "t", "m.cpp")], "doc_id long, id string, source string, path string")
+    dropped = {"a2", "b1", "c2", "3"}
+    keys = {r[0] for r in rows} | {"1", "2", "3", "4"}
+    assert {r["row_key"] for r in p5_functions.found(chunks, symbols, docs).collect()} == keys - dropped
+    pairs = {r["row_key"]: (r["doc_from"], r["documentation"]) for r in p5_functions.function_pairs(chunks, symbols, docs).collect()}
+    assert pairs["a2"] == pairs["c2"] == pairs["3"] == ("declaration", says) and pairs["2"] == ("own", says) and "b1" not in pairs
+    assert {k for k, (origin, _) in pairs.items() if origin == "own"} == keys - dropped
